@@ -47,7 +47,9 @@ def _prints(df: DataFrame, *carry: str) -> DataFrame:
     """(carry, start, print): the first window of every run of windows with the same least hash. `df` has `words`."""
     mins = df.withColumn("_g", _grams(F.col("words"), K)).withColumn("_m", _least(F.col("_g"))).drop("_g")
     at = F.filter(F.sequence(F.lit(0), F.size("_m") - 1), lambda i: (i == 0) | (F.get(F.col("_m"), i) != F.get(F.col("_m"), i - 1)))
-    return mins.where(F.col("_m").isNotNull()).select(*carry, "_m", F.explode(at).alias("start")).select(*carry, "start", F.get("_m", F.col("start")).alias("print"))
+    # outer: else the optimizer copies the arrays' expressions into a filter below, and their words into each step of it
+    out = mins.withColumn("_at", F.when(F.col("_m").isNotNull(), at)).select(*carry, "_m", F.explode_outer("_at").alias("start"))
+    return out.select(*carry, "start", F.get("_m", F.col("start")).alias("print")).where(F.col("start").isNotNull())
 
 
 def _small(df: DataFrame) -> bool:
@@ -76,13 +78,13 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         places = _prints(texts, "key").join(prints, "print", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
         hits = texts.join(places, "key").select("key", "words", F.explode("starts").alias("start")).select("key", "start", F.slice("words", F.col("start") + 1, SPAN + _AROUND - 1).alias("near"))
     around = F.transform(F.sequence(F.lit(0), F.size("near") - SPAN), lambda i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice("near", i + 1, SPAN), " ").alias("window")))
-    tried = hits.select("key", F.explode(around).alias("w")).select("key", "w.start", "w.window", F.lit(SPAN).alias("n"))
+    tried = hits.select("key", F.explode_outer(around).alias("w")).select("key", "w.start", "w.window", F.lit(SPAN).alias("n"))
 
     # at most SPAN - 1 lengths
     for n in [r["n"] for r in windows.where(F.col("n") < SPAN).select("n").distinct().orderBy("n").collect()]:
         every = _when_size(F.col("words"), n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("words", i + 1, n), " ").alias("window"))))
         own = windows.where(F.col("n") == n).select(F.col("window").alias("_w"))
-        rows = texts.select("key", F.explode(every).alias("w")).select("key", "w.start", "w.window", F.lit(n).alias("n"))
+        rows = texts.select("key", F.explode_outer(every).alias("w")).select("key", "w.start", "w.window", F.lit(n).alias("n"))
         tried = tried.unionByName(rows.join(_sized(own, _small(own)), F.col("window") == F.col("_w"), "left_semi"))
 
     found = tried.withColumn("hash", F.xxhash64("window")).join(_sized(windows.select("hash", F.col("window").alias("_w")), _small(windows)), "hash").where(F.col("window") == F.col("_w")).select("key", "start", "n", "window").distinct()
