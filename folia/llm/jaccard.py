@@ -240,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small, "edges")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("class")).groupBy("id").agg(F.min("class").alias("class"))
+            return now.select(F.col("u").alias("id"), F.col("v").alias("class")).union(now.select(F.col("v"), F.col("v"))).distinct()
         before = state
 
 
