@@ -97,11 +97,30 @@ def fingerprint(df: DataFrame, text: str = "text", k: int = K, words: int = 5, o
     return map_batches(df, kernel, schema)
 
 
-def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(doc_id, text, next_text) with the next document in descending doc_id; after the last comes the first.
+def _pairs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[list[tuple]]:
+    """(doc_id, text, next text) of rows in order, about `limit` characters at a time."""
+    held: tuple | None = None  # the row whose next one is looked for
+    rows, size = [], 0
+    for batch in batches:
+        for x in range(0, batch.num_rows, 256):  # few rows at a time leave Arrow
+            part = batch.slice(x, 256)
+            for i, t, k, tail in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "tail"))):
+                if held is not None and held[2] == k:
+                    rows.append((held[0], held[1], t))
+                    size += len(held[1]) + len(t)
+                held = None if tail else (i, t, k)
+                if size >= limit:
+                    yield rows
+                    rows, size = [], 0
+    if rows:
+        yield rows
+
 
-    Rows of equal doc_id are ordered by text, rows without doc_id stand last. The documents are dealt once
-    into ranges of doc_id; the first rows of a range are also sent to the range before it.
+def _dealt(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, text, bucket, tail) in the partitions and the order that `_pairs` reads.
+
+    The documents are dealt once into ranges of descending doc_id; the first rows of a range are also sent
+    to the range before it, as its tail.
     """
     spark = docs.sparkSession
     p = partitions or shuffle_partitions(spark)
@@ -117,8 +136,6 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
     # one row for each of at most p + 1 buckets
     tops = map_batches(docs.select("doc_id"), bucket, "doc_id long, bucket int").groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()
-    if not tops:
-        return docs.withColumn("next_text", F.col("text"))
     before = {r["top"]: tops[i - 1]["bucket"] for i, r in enumerate(tops)}
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -130,21 +147,21 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         take = pa.array([*range(len(ids)), *heads], pa.int64())
         return pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("text").take(take), rows, tail], ["doc_id", "text", "bucket", "tail"])
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the row whose next one is looked for
-        for b in batches:
-            ids, texts, nexts = [], [], []
-            for i, t, k, tail in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "tail"))):
-                if held is not None and held[2] == k:
-                    ids.append(held[0])
-                    texts.append(held[1])
-                    nexts.append(t)
-                held = None if tail else (i, t, k)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], ["doc_id", "text", "next_text"])
-
     dealt = map_batches(docs, place, "doc_id long, text string, bucket int, tail int").repartition(p, "bucket")
-    return dealt.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text").mapInArrow(follow, "doc_id long, text string, next_text string")
+    return dealt.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
+
+
+def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, text, next_text) with the next document in descending doc_id; after the last comes the first.
+
+    Rows of equal doc_id are ordered by text, rows without doc_id stand last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "text", "next_text"])
+
+    return _dealt(docs, partitions).mapInArrow(run, "doc_id long, text string, next_text string")
 
 
 def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
@@ -155,29 +172,22 @@ def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
     near_edited, near_next, n_distinct.
     """
 
-    def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(8)]
-        ids, texts, nexts = (b.column(c).to_pylist() for c in ("doc_id", "text", "next_text"))
-        a = 0
-        while a < len(ids):
-            z, size = a, 0
-            while z < len(ids) and (z == a or size < 1 << 19):
-                size += len(texts[z]) + len(nexts[z])
-                z += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pairs(batches):
+            cols: list[list] = [[] for _ in range(8)]
             edited = []
-            for t, x in zip(texts[a:z], nexts[a:z]):
+            for _, t, x in rows:
                 half = len(t) // 2
                 edited.append((t[: len(t) - half] + x[:half]).encode())
-            own = sketches(*tk.from_texts([t.encode() for t in texts[a:z]]), k)
+            own = sketches(*tk.from_texts([r[1].encode() for r in rows]), k)
             new = sketches(*tk.from_texts(edited), k)
-            after = own[1:] + sketches(*tk.from_texts([nexts[z - 1].encode()]), k)  # rows follow each other but at ends of buckets
-            for i in range(z - a):
-                nx = after[i] if i + 1 == z - a or texts[a + i + 1] == nexts[a + i] else sketches(*tk.from_texts([nexts[a + i].encode()]), k)[0]
-                for c, v in zip(cols, (ids[a + i], len(texts[a + i]), hashlib.sha256(edited[i]).hexdigest(), to_text(own[i]), to_text(new[i]), resemblance(own[i], new[i], k), resemblance(own[i], nx, k), distinct(own[i], k))):
+            for i, (doc_id, t, x) in enumerate(rows):
+                follows = i + 1 < len(rows) and rows[i + 1][1] == x
+                after = own[i + 1] if follows else sketches(*tk.from_texts([x.encode()]), k)[0]
+                for c, v in zip(cols, (doc_id, len(t), hashlib.sha256(edited[i]).hexdigest(), to_text(own[i]), to_text(new[i]), resemblance(own[i], new[i], k), resemblance(own[i], after, k), distinct(own[i], k))):
                     c.append(v)
-            a = z
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    return map_batches(with_next(docs), kernel, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double")
+    return _dealt(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_distinct double")
