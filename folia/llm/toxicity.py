@@ -4,7 +4,8 @@ The kernel counts the common subsequences of P bytes of two strings, each weighe
 it spans, so gaps and inserted characters cost something but don't hide a word. A text is toxic if one of
 its words is, so the machine judges words. A text's score is a logistic curve of its worst word's margin and of how many
 of its words lie beyond the border. Words are runs of visible bytes in lower case; four or more single characters in a row
-count as one more word, and words of more than WIDE bytes are judged in overlapping parts.
+count as one more word, a word with other characters between its letters counts without them, too, and
+words of more than WIDE bytes are judged in overlapping parts.
 
 Only labelled texts are learnt from, at most SAMPLE of them: substrings of words (with the space before
 the word as a character) that stand in toxic texts far more often than chance has it become the landmarks,
@@ -36,7 +37,7 @@ LANDMARKS, HARMLESS = 96, 32
 SURE = 14.0
 #: What all harmless words weigh against all insults in the machine's loss.
 HARSH = 1.2
-P, DECAY, POWER = 3, 0.7, 4
+P, DECAY, POWER = 3, 0.8, 4
 WIDE = 48
 SIZES = range(4, 10)
 FOLD = (3, 1)
@@ -73,6 +74,13 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             if j - i >= 4:
                 more.append(low[s[i:j]].tobytes())
                 rows.append(k)
+    if len(low) > 2:  # i-d-i-o-t is judged without what stands between its letters, too
+        mark = ~tk.WORD[low] & ~tk.SPACE[low]
+        inner = np.flatnonzero(mark[1:-1] & tk.WORD[low[:-2]] & tk.WORD[low[2:]]) + 1
+        for i in np.unique(np.searchsorted(s, inner, "right") - 1).tolist():
+            whole = low[s[i] : e[i]]
+            more.append(whole[tk.WORD[whole]].tobytes())
+            rows.append(int(row[i]))
     for i in np.flatnonzero(e - s > WIDE).tolist():
         whole = low[s[i] : e[i]].tobytes()
         more += [whole[x : x + WIDE] for x in range(WIDE // 2, max(WIDE // 2 + 1, len(whole) - WIDE // 2), WIDE // 2)]
@@ -303,7 +311,7 @@ def learn(texts: list[str], labels: list[int]) -> Machine:
     use = positive[some] | (clean[some] > 0)
     near, k_made = m.similarities(extra, at[:-1] + 1, at[1:] - 1)
     target = np.concatenate([np.where(positive[some[use]], 1.0, -1.0), np.ones(len(near))])
-    weigh = np.concatenate([np.where(positive[some[use]], np.sqrt(toxic[some[use]]), np.sqrt(clean[some[use]])), np.full(len(near), 0.2)])
+    weigh = np.concatenate([np.where(positive[some[use]], np.sqrt(toxic[some[use]]), np.sqrt(clean[some[use]])), np.full(len(near), 0.5)])
     k = np.vstack([k[use], k_made]).astype(np.float64)
     # the landmarks' own kernel matrix gives the map into the space that they span
     gram = np.stack([kernel(_wide(t)[None, :], u) for t in marks for u in marks]).reshape(len(marks), -1)
@@ -314,6 +322,8 @@ def learn(texts: list[str], labels: list[int]) -> Machine:
     x = np.hstack([k @ root, np.ones((len(k), 1))])
     weigh = np.where(target > 0, weigh, weigh * (0.01 + k.max(1)) ** 2)  # harmless words count by how near they come
     cost = weigh / np.where(target > 0, weigh[target > 0].sum(), max(1e-9, weigh[target < 0].sum()) / HARSH)
+    x = np.vstack([x, [0.0] * len(marks) + [1.0]])  # all the words that are like no landmark
+    target, cost = np.append(target, -1.0), np.append(cost, 0.5)
     w, active = np.zeros(x.shape[1]), np.ones(len(x), bool)
     for _ in range(25):  # squared hinge loss, both classes weighing the same: least squares over the rows inside the margin
         xa, ca = x[active], cost[active]
