@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from folia.functions import text as T
 from folia.sources.tables import table
@@ -43,7 +44,7 @@ def blocks_v(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("n", "text"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _by_length(sizes: pd.Series, limit: pd.Series) -> pd.Series:
     """Section number of each block: a new one begins once the running length is beyond the limit."""
     out = []
