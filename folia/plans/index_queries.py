@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import text as T
+from folia.operators.numbering import number
 from folia.plans import views as V
 from folia.registry import query
 from folia.sources.tables import table
@@ -23,8 +24,7 @@ def level_order(docs: DataFrame, collation: str | None = None) -> DataFrame:
     With a collation, titles are compared by its rules.
     """
     rows = docs.withColumn("level", F.explode("levels"))
-    title = F.collate("title", collation) if collation else F.col("title")
-    return rows.withColumn("n", (F.row_number().over(Window.partitionBy("level").orderBy(F.desc("year"), title, "doc_id")) - 1).cast("int"))
+    return number(rows, "level", [F.desc("year"), F.collate("title", collation) if collation else F.col("title"), F.col("doc_id")], "n")
 
 
 @query(V.with_views(V.DOCS, _LEVEL_DOCS, body="SELECT level, doc_id, n FROM level_v"))
@@ -37,7 +37,8 @@ SELECT level, doc_id, (row_number() OVER (PARTITION BY level ORDER BY CASE WHEN
 def sort_for_level(spark, d):
     rows = V.docs_v(spark, d).withColumn("level", F.explode("levels"))
     group = F.when(F.col("level") == V.COMMON, F.col("department")).otherwise("")
-    return rows.select("level", "doc_id", F.row_number().over(Window.partitionBy("level").orderBy(group, F.desc("year"), "title", "doc_id")).alias("place"))
+    placed = number(rows.withColumn("group", group), "level", [F.col("group"), F.desc("year"), F.col("title"), F.col("doc_id")], "place")
+    return placed.select("level", "doc_id", (F.col("place") + 1).alias("place"))
 
 
 def refs(docs: DataFrame, sections: DataFrame) -> DataFrame:
