@@ -40,7 +40,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template textarea select button svg math iframe object canvas audio video title head".split())
 _GOOD = frozenset("article main".split())
 _BAD = frozenset("nav header footer aside form dialog menu".split())
-_BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs button comment comments consent cookie cookies copyright disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup popular promo promoted recommended related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+_BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs button comment comments consent cookie cookies copyright disclaimer disqus footer form login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup popular promo promoted recommended related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+#: Their names say how the whole page looks.
+_WHOLE = frozenset("html body article main".split())
 _GOOD_WORDS = frozenset("article body content entry hentry main post story text".split())
 _CLOSES_P = _BLOCKS - {"html", "body", "head"}
 _SHUTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -124,7 +126,7 @@ def blocks(page: str) -> list[Block]:
             state["in_a"] = False
             if tag not in _VOID and not m[3].rstrip().endswith("/"):
                 words = set()
-                for names in _NAMES.findall(m[3]) if "=" in m[3] else ():
+                for names in _NAMES.findall(m[3]) if "=" in m[3] and tag not in _WHOLE else ():
                     words |= set(_WORD.findall("".join(names).lower()))
                 state["n"] += 1
                 stack.append((tag, bool(words & _GOOD_WORDS), bool(words & _BAD_WORDS), state["n"]))
@@ -223,7 +225,7 @@ def main_text(page: str | None, w: np.ndarray) -> str:
     for b in own:
         x = float(np.dot(features(b), w))
         x = max(-4.0, min(4.0, x))
-        x += ELEMENT * (b.good - 2 * b.bad) - (ELEMENT if any_good and not b.good else 0) - (1.5 * ELEMENT if b.bad_words else 0)
+        x += ELEMENT * (b.good - 2 * b.bad) - (ELEMENT if any_good and not b.good else 0) - (2.5 * ELEMENT if b.bad_words else 0)
         bias.append(x)
     ties, before = [], {}
     for i, b in enumerate(own):
