@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from folia.llm.arrow import map_batches
 from folia.llm.shared import written
 
 SPAN, K = 400, 32
-#: Places of one anchor beyond which its windows are shared out to more tasks.
+#: Different contents around one anchor beyond which its windows are shared out to more tasks.
 PLACES = 20_000
 _AT = np.uint64((1 << 22) - 1)
 #: Bytes of a text that are looked at together; below 2^22.
@@ -48,10 +49,13 @@ def _least(h: np.ndarray, wide: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
-    """(row, anchor's hash, its place, first window, last window) of every run of windows with one anchor; places are within rows."""
+    """(row, anchor's hash, its place, first window, last window, hash of the windows' bytes) of every run of windows with one anchor.
+
+    Places are within rows.
+    """
     n = len(buf)
     if n < span:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     prefix = tk.prefix_hash(buf)
     at = np.arange(n - k + 1)
     h = tk.span_hash(prefix, at, at + k)
@@ -64,7 +68,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, span: int = SPAN, k: int = K) ->
     row_f = row[first]
     last = np.minimum(np.append(np.flatnonzero(new)[1:], len(best))[np.cumsum(new)[first] - 1] - 1, offs[row_f + 1] - span)
     place = best[first]
-    return row_f, h[place].view(np.int64), place - offs[row_f], first - offs[row_f], last - offs[row_f]
+    whole = tk.span_hash(prefix, first, last + span).view(np.int64)
+    return row_f, h[place].view(np.int64), place - offs[row_f], first - offs[row_f], last - offs[row_f], whole
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,20 +95,26 @@ def _anchor_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     texts = b.column("text").cast(pa.large_string()).fill_null("")
     keys = [_key(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
     first8 = np.frombuffer(b"".join(x[:8] for x in keys), "<u8")
-    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
     for buf, offs, rows, start in _parts(texts):
-        r, v, p, lo, hi = anchors(buf, offs)
+        r, v, p, lo, hi, whole = anchors(buf, offs)
         if len(r):
             at, row = start[r], rows[r]
-            for c, x in zip(out, (v, _site(first8[row], p + at), row, p + at, lo + at, hi + at)):
+            for c, x in zip(out, (v, _site(first8[row], p + at), row, p + at, lo + at, hi + at, whole)):
                 c.append(x)
     cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
     arrays = [pa.array(cols[0]), pa.array(cols[1]), pa.array(keys, pa.binary()).take(pa.array(cols[2])), *(pa.array(c) for c in cols[3:])]
-    return pa.RecordBatch.from_arrays(arrays, ["anchor", "site", "key", "place", "lo", "hi"])
+    return pa.RecordBatch.from_arrays(arrays, ["anchor", "site", "key", "place", "lo", "hi", "content"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The bytes of each run of windows once for so many texts, with all its owners (key, first window)."""
+    for b in batches:
+        for x in range(0, b.num_rows, rows):
+            yield _window_part(b.slice(x, rows))
 
 
-def _window_rows(b: pa.RecordBatch) -> pa.RecordBatch:
-    """The bytes of each run of windows once a batch, with all its owners (key, first window)."""
+def _window_part(b: pa.RecordBatch) -> pa.RecordBatch:
     own: dict[tuple, dict] = {}
     for key, text, runs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
         raw = text.as_py().encode()
@@ -155,22 +166,22 @@ def _repeated(rows: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[bytes, int
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor and share; they are settled whenever enough whole groups are there."""
 
-    def out(rows: list) -> pa.RecordBatch:
-        got = list(_repeated(rows))
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["key", "start", "end"])
+    def out(rows: list) -> Iterator[pa.RecordBatch]:
+        for got in batched(_repeated(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["key", "start", "end"])
 
     rows: list[tuple[int, bytes, bytes]] = []
     size, before = 0, None
     for b in batches:
         for anchor, share, content, owners in zip(*(c.to_pylist() for c in b.columns)):
             if size > 1 << 21 and (anchor, share) != before:
-                yield out(rows)
+                yield from out(rows)
                 rows, size = [], 0
             before = anchor, share
             rows.append((share, content, owners))
-            size += len(content)
+            size += len(content) + len(owners)
     if rows:
-        yield out(rows)
+        yield from out(rows)
 
 
 def _cut(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,13 +209,14 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.lit(-(1 << 63))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select(F.unhex(F.md5("text")).alias("key"), "id", "text")
-    rows = written(map_batches(texts.select("text"), _anchor_rows, "anchor long, site long, key binary, place long, lo long, hi long"), "anchors")
-    spread = rows.groupBy("anchor").agg(F.min("site").alias("_a"), F.max("site").alias("_z"), F.count("*").alias("_n")).where("_a <> _z").select("anchor", (1 + F.floor(F.col("_n") / PLACES)).cast("int").alias("shares"))
-    again = rows.drop("site").join(spread, "anchor").dropDuplicates(["key", "place", "lo"])
+    rows = written(map_batches(texts.select("text"), _anchor_rows, "anchor long, site long, key binary, place long, lo long, hi long, content long"), "anchors")
+    contents = rows.groupBy("anchor", "content").agg(F.min("site").alias("_a"), F.max("site").alias("_z"))
+    spread = contents.groupBy("anchor").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.count("*").alias("_n")).where("_a <> _z").select("anchor", (1 + F.floor(F.col("_n") / PLACES)).cast("int").alias("shares"))
+    again = rows.drop("site", "content").join(spread, "anchor").dropDuplicates(["key", "place", "lo"])
     by_text = again.groupBy("key").agg(F.collect_list(F.struct("anchor", "shares", "lo", "hi")).alias("runs"))
     ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     some = written(keyed.join(by_text.join(ids.drop("n"), "key"), ["key", "id"]), "repeats")
-    windows = map_batches(some.select("key", "text", "runs"), _window_rows, "anchor long, share long, content binary, owners binary")
+    windows = some.select("key", "text", "runs").mapInArrow(_window_rows, "anchor long, share long, content binary, owners binary")
     found = windows.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_settle, "key binary, start long, end long")
     lists = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     return some.select("key", "text").dropDuplicates(["key"]).join(lists, "key"), ids
