@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache
 def _least_matches() -> list[int]:
     """For every number of values compared in steps of STEP, the fewest matches that keep a pair."""
 
