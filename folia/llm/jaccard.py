@@ -228,13 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until no edge changes; each step is one shuffle by node
     with partial minima, and an id of very many edges is a plain group of an aggregate.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
     before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: the larger neighbours of a node go to its least one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large, "edges")
         # small star: a node and its smaller neighbours go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
