@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.shared import written
+
 SPAN, K = 13, 5
 _AROUND = SPAN - K + 1
 #: Fingerprints up to which the benchmark's side is sent to all executors (8 bytes each).
@@ -88,6 +90,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         tried = tried.unionByName(rows.join(_sized(own, _small(own)), F.col("window") == F.col("_w"), "left_semi"))
 
     found = tried.withColumn("hash", F.xxhash64("window")).join(_sized(windows.select("hash", F.col("window").alias("_w")), _small(windows)), "hash").where(F.col("window") == F.col("_w")).select("key", "start", "n", "window").distinct()
+    found = written(found, "windows")  # read twice below
     place = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
     covered = F.aggregate(
         "places",
