@@ -219,24 +219,45 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(0.1, w[0]), max(0.0, w[1]), w[2]])
 
 
+def _gather(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one behind the other."""
+    size = e - s
+    begin = np.cumsum(size) - size
+    return buf[np.arange(int(size.sum())) + np.repeat(s - begin, size)]
+
+
 def learn(texts: list[str], labels: list[int]) -> Machine:
     """A machine from labelled texts, the same for the same rows in any order."""
     order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
-    buf, offs = tk.from_texts([texts[i].encode() for i in order])
     y = np.array([labels[i] for i in order], np.int64)
-    low, s, e, row = words(buf, offs)
     nothing = Machine([], np.zeros(0, np.float32), -1.0, np.array([1.0, 0.0, 0.0]))
-    if not len(s) or not y.any():
+    column = pa.array([texts[i] for i in order], pa.large_string())
+    # the different words, a few MB of text at a time: hashes, texts of both kinds that hold them, bytes
+    names, n_toxic, n_clean, held, sizes = [], [], [], [], []
+    for i, j, buf, offs in tk.pieces(column):
+        low, s, e, row = words(buf, offs)
+        if not len(s):
+            continue
+        h, first, back = np.unique(tk.span_hash(tk.prefix_hash(low), s, e), return_index=True, return_inverse=True)
+        pairs = np.unique(back.astype(np.int64) * (j - i) + row)  # each word once a row
+        word, own = pairs // (j - i), y[i + pairs % (j - i)]
+        names.append(h)
+        n_toxic.append(np.bincount(word, own, len(h)))
+        n_clean.append(np.bincount(word, 1 - own, len(h)))
+        held.append(_gather(low, s[first], e[first]))
+        sizes.append((e - s)[first])
+    if not names or not y.any():
         return nothing
-    h = tk.span_hash(tk.prefix_hash(low), s, e)
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    pairs = np.unique(back.astype(np.int64) * len(y) + row)  # each word once a row
-    word, of = pairs // len(y), pairs % len(y)
-    toxic = np.bincount(word, y[of], len(first))
-    clean = np.bincount(word, 1 - y[of], len(first))
-    ws, we = s[first], e[first]
+    _, first, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    toxic, clean = np.bincount(back, np.concatenate(n_toxic)), np.bincount(back, np.concatenate(n_clean))
+    size = np.concatenate(sizes)
+    end = np.cumsum(size)
+    low = _gather(np.concatenate(held), (end - size)[first], end[first])
+    we = np.cumsum(size[first])
+    ws = we - size[first]
+    del names, held, sizes, back
     # substrings of the words that toxic texts have, and the texts of both kinds that hold them
-    hot = np.flatnonzero(toxic > 0)
+    hot = np.flatnonzero((toxic > 0) & (clean <= toxic))
     prefix = tk.prefix_hash(low)
 
     def parts(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -333,7 +354,7 @@ def learn(texts: list[str], labels: list[int]) -> Machine:
             break
         active = now
     m.weights, m.bias = (root @ w[:-1]).astype(np.float32), float(w[-1])
-    m.curve = _curve(m.margins(buf, offs), y)
+    m.curve = _curve(np.concatenate([m.margins(buf, offs) for _, _, buf, offs in tk.pieces(column)]), y)
     return m
 
 
