@@ -46,9 +46,15 @@ def _least(hashes: Column) -> Column:
 
 
 def _prints(df: DataFrame, *carry: str) -> DataFrame:
-    """(carry, start, print): the first window of every run of windows with the same least hash. `df` has `words`."""
+    """(carry, start, print): windows such that each window has one with the same least hash at most _AROUND - 1 before it.
+
+    They are the first of every run of windows with the same least hash and, as a gram that stands again within
+    a window makes longer runs, the first beyond _AROUND windows and every _AROUND-th place behind. `df` has `words`.
+    """
     mins = df.withColumn("_g", _grams(F.col("words"), K)).withColumn("_m", _least(F.col("_g"))).drop("_g")
-    at = F.filter(F.sequence(F.lit(0), F.size("_m") - 1), lambda i: (i == 0) | (F.get(F.col("_m"), i) != F.get(F.col("_m"), i - 1)))
+    m = lambda i: F.get(F.col("_m"), i)
+    long = lambda i: (m(i) == m(i - _AROUND)) & ((i % _AROUND == 0) | (i == _AROUND) | (m(i) != m(i - _AROUND - 1)))
+    at = F.filter(F.sequence(F.lit(0), F.size("_m") - 1), lambda i: (i == 0) | (m(i) != m(i - 1)) | long(i))
     # outer: else the optimizer copies the arrays' expressions into a filter below, and their words into each step of it
     out = mins.withColumn("_at", F.when(F.col("_m").isNotNull(), at)).select(*carry, "_m", F.explode_outer("_at").alias("start"))
     return out.select(*carry, "start", F.get("_m", F.col("start")).alias("print")).where(F.col("start").isNotNull())

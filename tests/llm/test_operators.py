@@ -163,6 +163,25 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_decontamination_of_repetitive_texts_equals_sql(spark, monkeypatch, limit):
+    import duckdb
+    from folia.llm import queries
+
+    phrases = [["aa"], prose(2, 50).split(), prose(7, 51).split(), prose(8, 52).split(), prose(9, 53).split(), prose(12, 54).split(), prose(20, 55).split()]
+    texts = [prose(lead, 60 + lead).split()[:lead] + p * n + prose(5, 70).split() for p in phrases for n in (2, 3, 60) for lead in (0, 1, 9, 13)]
+    texts += [["aa"] * 500, ["aa"] * 22, [w for w in prose(30, 56).split() for _ in range(2)]]
+    items = [(f"{i}", " ".join((p * 13)[:13])) for i, p in enumerate(phrases)] + [("long", " ".join(phrases[2] * 4)), ("twice", " ".join(texts[-1]))]
+    frames = {"documents": spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "benchmark": spark.createDataFrame(items, "item_id string, text string")}
+    duck = duckdb.connect()
+    for name, df in frames.items():
+        duck.register(name, df.toPandas())
+    want = sorted(duck.execute(queries.OP4).fetchall())
+    monkeypatch.setattr(decontaminate, "BROADCAST_LIMIT", limit)
+    assert sorted(map(tuple, decontaminate.report(*frames.values()).collect())) == want
+    assert [r[2] for r in want if r[0] == len(texts) - 3] == [500]
+
+
 def test_jaccard_join(docs, empty):
     got = {r["doc_id"]: r for r in jaccard.join(docs.withColumn("class_id", docs["n_chars"])).collect()}
     rows = [r for r in docs.collect() if r["doc_id"] is not None]
