@@ -10,7 +10,8 @@ named by 64-bit hashes and those of two or more places are repeated.
 
 Everything is said of texts, not rows: a text of two or more rows is repeated as a whole if it is long
 enough, and stands for one place towards others, so copies cost nothing. An anchor with very many places is
-dealt to several tasks, each of which settles a share of the window names.
+never gathered: runs of windows with equal bytes are marked where they stand, and the windows of the others
+are named there, counted by name and looked up in the names of two or more places.
 
 Nulls count as empty texts. Matches never cross documents. Other columns are passed over.
 """
@@ -31,8 +32,12 @@ from folia.llm.arrow import map_batches
 from folia.llm.shared import written
 
 SPAN, K = 400, 32
-#: Different contents around one anchor beyond which its windows are shared out to more tasks.
+#: Places of one anchor beyond which its windows are counted by name, not in the anchor's partition.
 PLACES = 20_000
+#: Anchors up to which the list of such anchors is sent to all executors (8 bytes each).
+BROADCAST_LIMIT = 1_000_000
+#: Kinds of runs of windows: of an anchor with few places; else alone with its bytes, the first of runs with equal bytes, another of these.
+_COLD, _ALONE, _FIRST, _SAME = range(4)
 _AT = np.uint64((1 << 22) - 1)
 #: Bytes of a text that are looked at together; below 2^22.
 _PART = 1 << 21
@@ -117,24 +122,17 @@ def _window_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterato
 def _window_part(b: pa.RecordBatch) -> pa.RecordBatch:
     own: dict[tuple, dict] = {}
     for key, text, runs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
-        raw = text.as_py().encode()
-        for r in runs:
-            bytes_ = raw[r["lo"] : r["hi"] + SPAN]
-            own.setdefault((r["anchor"], r["shares"], bytes_), {})[key + r["lo"].to_bytes(8, "little")] = None
-    anchor, share, content, owners = [], [], [], []
-    for (v, shares, bytes_), who in own.items():
-        joined = b"".join(who)
-        for s in range(shares):
-            anchor.append(v)
-            share.append(s * 65536 + shares)
-            content.append(bytes_)
-            owners.append(joined)
-    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(share, pa.int64()), pa.array(content, pa.binary()), pa.array(owners, pa.binary())], ["anchor", "share", "content", "owners"])
-
-
-def _repeated(rows: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[bytes, int, int]]:
-    """(key, first byte, byte behind the last) of repeated strings among rows of whole anchors."""
-    buf, offs = tk.from_texts([r[1] for r in rows])
+        cold = [r for r in runs if r["kind"] == _COLD]
+        raw = text.as_py().encode() if cold else b""
+        for r in cold:
+            own.setdefault((r["anchor"], raw[r["lo"] : r["hi"] + SPAN]), {})[key + r["lo"].to_bytes(8, "little")] = None
+    anchor, content, owners = [v for v, _ in own], [c for _, c in own], [b"".join(who) for who in own.values()]
+    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.binary()), pa.array(owners, pa.binary())], ["anchor", "content", "owners"])
+
+
+def _names(contents: list[bytes], keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, site, row, place in the row) of all windows of contents, and the windows before each row."""
+    buf, offs = tk.from_texts(contents)
     prefix = tk.prefix_hash(buf)
     n = np.diff(offs) - SPAN + 1
     begin = np.zeros(len(n) + 1, np.int64)
@@ -142,43 +140,83 @@ def _repeated(rows: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[bytes, int
     row = np.repeat(np.arange(len(n)), n)
     inner = np.arange(begin[-1]) - begin[row]
     at = offs[row] + inner
-    names = tk.span_hash(prefix, at, at + SPAN)
-    keys = np.frombuffer(b"".join(r[2][:8] for r in rows), "<u8")
-    starts = np.frombuffer(b"".join(r[2][16:24] for r in rows), "<i8")
-    sites = _site(keys[row], starts[row] + inner)
-    many = np.array([len(r[2]) > 24 for r in rows])
-    share, shares = np.array([r[0] for r in rows]).reshape(-1) // 65536, np.array([r[0] for r in rows]) % 65536
-    mine = (shares[row] == 1) | (names % np.maximum(shares[row], 1).astype(tk.U) == share[row].astype(tk.U))
+    return tk.span_hash(prefix, at, at + SPAN), _site(keys[row], starts[row] + inner), row, inner, begin
+
+
+def _hot_names(batches: Iterator[pa.RecordBatch], windows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """(name, site, whether its run's bytes stand elsewhere, key, run's first window, window) of anchors with many places; of runs with equal bytes only the first's."""
+
+    def out(rows: list[tuple[bytes, bytes, int, bool]]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(r[1][:8] for r in rows), "<u8")
+        lo = np.array([r[2] for r in rows], np.int64)
+        names, sites, row, inner, _ = _names([r[0] for r in rows], keys, lo)
+        many = np.array([r[3] for r in rows])[row]
+        arrays = [pa.array(names.view(np.int64)), pa.array(sites), pa.array(many), pa.array([r[1] for r in rows], pa.binary()).take(pa.array(row)), pa.array(lo[row]), pa.array(lo[row] + inner)]
+        return pa.RecordBatch.from_arrays(arrays, ["name", "site", "many", "key", "lo", "start"])
+
+    rows, size = [], 0
+    for b in batches:
+        for key, text, runs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist()):
+            named = [r for r in runs if r["kind"] in (_ALONE, _FIRST)]
+            raw = text.as_py().encode() if named else b""
+            for r in named:
+                rows.append((raw[r["lo"] : r["hi"] + SPAN], key, r["lo"], r["kind"] == _FIRST))
+                size += r["hi"] - r["lo"] + 1
+                if size > windows:
+                    yield out(rows)
+                    rows, size = [], 0
+    if rows:
+        yield out(rows)
+
+
+def _in_rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, first byte, byte behind the last) of windows in a row, out of (key, starts)."""
+    keys, start, end = [], [], []
+    for key, at in zip(b.column("key").to_pylist(), b.column("starts").to_pylist()):
+        at = np.unique(np.array(at, np.int64))
+        new = np.flatnonzero(np.append(True, np.diff(at) > 1))
+        keys += [key] * len(new)
+        start += at[new].tolist()
+        end += (at[np.append(new[1:], len(at)) - 1] + SPAN).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["key", "start", "end"])
+
+
+def _repeated(rows: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, int, int]]:
+    """(key, first byte, byte behind the last) of repeated strings among rows (content, owners) of whole anchors."""
+    keys = np.frombuffer(b"".join(r[1][:8] for r in rows), "<u8")
+    starts = np.frombuffer(b"".join(r[1][16:24] for r in rows), "<i8")
+    names, sites, row, _, begin = _names([r[0] for r in rows], keys, starts)
+    many = np.array([len(r[1]) > 24 for r in rows])
     order = np.argsort(names, kind="stable")
     cut = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1]))
     low, high = np.minimum.reduceat(sites[order], cut), np.maximum.reduceat(sites[order], cut)
     more = np.maximum.reduceat(many[row][order].view(np.int8), cut) > 0
     again = np.zeros(len(names), bool)
     again[order] = np.repeat((low != high) | more, np.diff(np.append(cut, len(names))))
-    s, e, r = tk.runs((again & mine).view(np.int8), begin)
+    s, e, r = tk.runs(again.view(np.int8), begin)
     for a, z, i in zip((s - begin[r]).tolist(), (e - begin[r]).tolist(), r.tolist()):
-        who = rows[i][2]
+        who = rows[i][1]
         for x in range(0, len(who), 24):
             lo = int.from_bytes(who[x + 16 : x + 24], "little")
             yield who[x : x + 16], lo + a, lo + z - 1 + SPAN
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor and share; they are settled whenever enough whole groups are there."""
+    """Rows come sorted by anchor; they are settled whenever enough whole anchors are there."""
 
     def out(rows: list) -> Iterator[pa.RecordBatch]:
         for got in batched(_repeated(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["key", "start", "end"])
 
-    rows: list[tuple[int, bytes, bytes]] = []
+    rows: list[tuple[bytes, bytes]] = []
     size, before = 0, None
     for b in batches:
-        for anchor, share, content, owners in zip(*(c.to_pylist() for c in b.columns)):
-            if size > 1 << 21 and (anchor, share) != before:
+        for anchor, content, owners in zip(*(c.to_pylist() for c in b.columns)):
+            if size > 1 << 21 and anchor != before:
                 yield from out(rows)
                 rows, size = [], 0
-            before = anchor, share
-            rows.append((share, content, owners))
+            before = anchor
+            rows.append((content, owners))
             size += len(content) + len(owners)
     if rows:
         yield from out(rows)
@@ -204,20 +242,50 @@ def _cut(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _hot_runs(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, anchor, kind, lo, hi) of the runs of anchors with many places, copies of texts once."""
+    own = rows.join(hot, "anchor").dropDuplicates(["key", "place", "lo"])
+    # written: both sides of the join are then plain shuffles, of which a frequent content's can be split
+    same = written(own.groupBy("anchor", "content").agg(F.min("site").alias("_a"), F.max("site").alias("_z")).where("_a <> _z").drop("_z"), "contents")
+    kind = F.when(F.col("_a").isNull(), _ALONE).when(F.col("site") == F.col("_a"), _FIRST).otherwise(_SAME)
+    return own.join(same, ["anchor", "content"], "left").select("key", "anchor", kind.alias("kind"), "lo", "hi")
+
+
+def _hot_found(some: DataFrame) -> DataFrame:
+    """(key, start, end) of repeated strings around anchors with many places."""
+    runs = some.select("key", F.explode("runs").alias("r")).where(F.col("r.kind").isin(_FIRST, _SAME))
+    whole = runs.select("key", F.col("r.lo").alias("start"), (F.col("r.hi") + SPAN).alias("end"))
+    named = some.where(F.exists("runs", lambda r: r["kind"].isin(_ALONE, _FIRST))).select("key", "text", "runs")
+    named = named.mapInArrow(_hot_names, "name long, site long, many boolean, key binary, lo long, start long")
+    names = named.groupBy("name").agg(F.min("site").alias("_a"), F.max("site").alias("_z"), F.max("many").alias("_m")).where("_a <> _z or _m")
+    again = named.where("not many").join(written(names.select("name"), "names"), "name")
+    by_run = again.groupBy("key", "lo").agg(F.collect_list("start").alias("starts")).select("key", "starts")
+    return whole.unionByName(map_batches(by_run, _in_rows, "key binary, start long, end long"))
+
+
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts with repeated strings beside copies: key, text, found), (all texts: key, id, n of rows)."""
     none = F.lit(-(1 << 63))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select(F.unhex(F.md5("text")).alias("key"), "id", "text")
     rows = written(map_batches(texts.select("text"), _anchor_rows, "anchor long, site long, key binary, place long, lo long, hi long, content long"), "anchors")
-    contents = rows.groupBy("anchor", "content").agg(F.min("site").alias("_a"), F.max("site").alias("_z"))
-    spread = contents.groupBy("anchor").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.count("*").alias("_n")).where("_a <> _z").select("anchor", (1 + F.floor(F.col("_n") / PLACES)).cast("int").alias("shares"))
-    again = rows.drop("site", "content").join(spread, "anchor").dropDuplicates(["key", "place", "lo"])
-    by_text = again.groupBy("key").agg(F.collect_list(F.struct("anchor", "shares", "lo", "hi")).alias("runs"))
+    contents = rows.groupBy("anchor", "content").agg(F.min("site").alias("_a"), F.max("site").alias("_z"), F.count("*").alias("_n"))
+    spread = contents.groupBy("anchor").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.sum("_n").alias("_n")).where("_a <> _z")
+    spread = written(spread.select("anchor", (F.col("_n") > PLACES).alias("hot")), "spread")
+    hot = spread.where("hot").select("anchor")
+    n_hot = hot.limit(BROADCAST_LIMIT + 1).count()
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_LIMIT else hot
+    cold = rows.drop("site", "content")
+    cold = cold.join(hot, "anchor", "left_anti") if n_hot else cold
+    again = cold.join(spread.where("not hot").select("anchor"), "anchor").dropDuplicates(["key", "place", "lo"]).withColumn("kind", F.lit(_COLD))
+    again = again.select("key", "anchor", "kind", "lo", "hi")
+    again = again.unionByName(_hot_runs(rows, hot)) if n_hot else again
+    by_text = again.groupBy("key").agg(F.collect_list(F.struct("anchor", "kind", "lo", "hi")).alias("runs"))
     ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     some = written(keyed.join(by_text.join(ids.drop("n"), "key"), ["key", "id"]), "repeats")
-    windows = some.select("key", "text", "runs").mapInArrow(_window_rows, "anchor long, share long, content binary, owners binary")
-    found = windows.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_settle, "key binary, start long, end long")
+    windows = some.select("key", "text", "runs").mapInArrow(_window_rows, "anchor long, content binary, owners binary")
+    found = windows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, "key binary, start long, end long")
+    found = found.unionByName(_hot_found(some)) if n_hot else found
     lists = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     return some.select("key", "text").dropDuplicates(["key"]).join(lists, "key"), ids
 

@@ -254,6 +254,29 @@ def test_repeats(docs, empty, places):
     assert repeats.report(empty).count() == 0
 
 
+def test_no_task_gathers_an_anchor_of_many_places(spark, monkeypatch):
+    settle, places = repeats._settle, 20
+
+    def counted(batches):
+        seen, batches = {}, list(batches)
+        for b in batches:
+            for r in b.to_pylist():
+                group = seen.setdefault((r["anchor"], r.get("share")), set())
+                group |= {(r["content"], r["owners"][x : x + 24]) for x in range(0, len(r["owners"]), 24)}
+                assert len(group) <= places
+        yield from settle(iter(batches))
+
+    phrase, tails = prose(70, 200)[:330], [prose(60, 201 + i) for i in range(6)]
+    texts = [prose(80, 300 + i) + " " + phrase + (tails[i % 6] if i % 3 == 0 else prose(60, 500 + i)) for i in range(60)]
+    texts += [BASE + prose(20, 600 + i) for i in range(30)] + [phrase + "yz" * 600]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = brute_repeats([t.encode() for t in texts], repeats.SPAN)
+    monkeypatch.setattr(repeats, "PLACES", places)
+    monkeypatch.setattr(repeats, "_settle", counted)
+    got = sorted(map(tuple, repeats.report(df).collect()))
+    assert got == [(i, *w) for i, w in enumerate(want)]
+
+
 def test_anchors_of_parts_equal_those_of_the_whole(docs):
     part = repeats._PART
     try:
