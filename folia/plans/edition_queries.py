@@ -224,7 +224,7 @@ def plan_batch(spark, d):
 
 @query()
 def join_spaced(spark, d):
-    apart = F.array_join(F.split(F.left("text", F.lit(40)), ""), " ")
+    apart = F.array_join(F.split("text", ""), " ")
     return V.blocks_v(spark, d).select("doc_id", "n", spacing.join_spaced(F.concat(F.lit("공 적 조 서 "), apart)).alias("text"))
 
 

@@ -92,6 +92,19 @@ def test_codes_go_both_ways(spark):
         assert list(value(spark, T.decode_postings(code))) == sorted(set(own))
 
 
+def test_spaced_texts_are_whole(spark, tmp_path):
+    plain, apart = "An ordinary line of words. " * 40 + "its end", "유 치 원 생 활 기 록부 의 " * 60 + "끝 말"
+    texts = [apart, plain, None, "", plain + "\n" + plain, apart]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in registry.queries()["repair_spaced_docs"](spark, str(tmp_path)).collect()}
+    bare = lambda t: (t or "").replace(" ", "")
+    assert sorted(got) == list(range(6)) and all(bare(got[i]) == bare(t) for i, t in enumerate(texts))
+    assert got[1] == plain and got[0] == got[5] and len(got[0]) < len(apart)
+    joined = {(r["doc_id"], r["n"]): r["text"] for r in registry.queries()["join_spaced"](spark, str(tmp_path)).collect()}
+    lines = {(i, n): x.strip() for i, t in enumerate(texts) for n, x in enumerate((t or "").splitlines())}
+    assert {k: bare(v) for k, v in joined.items()} == {k: "공적조서" + bare(x) for k, x in lines.items()}
+
+
 def test_similar_keys_equal_brute_force(spark):
     from collections import Counter
 
