@@ -105,6 +105,19 @@ def test_spaced_texts_are_whole(spark, tmp_path):
     assert {k: bare(v) for k, v in joined.items()} == {k: "공적조서" + bare(x) for k, x in lines.items()}
 
 
+def test_references_of_long_documents_are_their_own(spark):
+    from folia.plans.index_queries import postings, refs
+
+    docs = spark.createDataFrame([(i, ["en"] if i else ["en", "fr"], 2024, f"t{i}") for i in range(3)], "doc_id long, levels array<string>, year int, title string")
+    sizes = [2500, 3, 1001]
+    sections = spark.createDataFrame([(i, s, "ab") for i, n in enumerate(sizes) for s in range(n)], "doc_id long, s int, text string")
+    own = refs(docs, sections)
+    got = {(r["level"], r["doc_id"], r["s"]): r["ref"] for r in own.collect()}
+    assert len(got) == sum(sizes) + sizes[0] == len({(k[0], v) for k, v in got.items()})
+    assert all(v == k[1] * 1000 + k[2] for k, v in got.items() if k[2] < 1000) and got["en", 0, 1000] == 3000 and got["en", 2, 1000] == 5000
+    assert {r["level"]: len(r["refs"]) for r in postings(own).collect()} == {"en": sum(sizes), "fr": sizes[0]}
+
+
 def test_similar_keys_equal_brute_force(spark):
     from collections import Counter
 
