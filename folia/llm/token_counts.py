@@ -7,7 +7,10 @@ isn't empty; a character that no piece of its own covers can be unknown, at ten
 matches are tried by start, then by length, and only a strictly better score replaces an earlier one; an
 unknown character becomes one token for each of its bytes if the vocabulary has byte pieces, else a run of
 them is one token. No piece goes on behind a letter with a space, so chunks that begin at spaces are
-counted on their own and remembered.
+counted on their own and remembered; so is a character that no longer piece holds.
+
+The model that the query reads was made by merges: its pieces' scores are their negated merge ranks, and the
+counts are those of the best-scored cut by these scores, not of that model's own merging.
 
 Nulls and empty texts have no tokens; other columns are passed over.
 """
@@ -22,7 +25,6 @@ from pyspark.sql import DataFrame
 from folia.llm.arrow import map_batches
 
 SPACE = "▁"
-_CHUNK = re.compile(r" *[^ ]+| +")
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -44,39 +46,66 @@ class Counter(dict):
             raise ValueError("pieces with a space behind a letter can't be counted by chunks")
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
-            self.automaton.add_word(piece, (len(piece), score))
+            self.automaton.add_word(piece, (len(piece) - 1, score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - 10.0
         self.by_bytes, self.limit = bytes_for_unknown, limit
+        self.known = frozenset(p for p, _ in vocabulary if len(p) == 1)
+        # a character that stands in no longer piece is a chunk of its own, unless unknown ones in a row are one token
+        joined = {c for p, _ in vocabulary if len(p) > 1 for c in p} - {SPACE}
+        some = lambda chars: "".join(map(re.escape, sorted(chars)))
+        inner = f"[{some(joined)}]" if bytes_for_unknown and joined else f"[^ {some(self.known - joined - {SPACE})}]"
+        self.chunks = re.compile(f" *{inner}+| +|.", re.S)
 
     def viterbi(self, text: str) -> tuple[float, int]:
-        """Best score and number of tokens of a text with its spaces marked."""
-        n = len(text)
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (size, s) in self.automaton.iter(text):
-            into[end + 1].append((size, s))
-        best, count, open_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        alone = [False] * n
-        for end in range(1, n + 1):
-            alone[end - 1] = any(size == 1 for size, _ in into[end])
-        for end in range(1, n + 1):
-            top, pieces, unknown = None, 0, False
-            found = sorted(into[end], reverse=True)  # by start: the longest piece first
-            if not alone[end - 1]:
-                found.append((1, None))
-            for size, s in found:
-                start = end - size
-                x = best[start] + (self.unknown if s is None else s)
-                if top is None or x > top:
-                    top = x
-                    if s is not None:
-                        pieces, unknown = count[start] + 1, False
-                    elif self.by_bytes:
-                        pieces, unknown = count[start] + len(text[start].encode()), False
-                    else:
-                        pieces, unknown = count[start] + (not open_unknown[start]), True
-            best[end], count[end], open_unknown[end] = top, pieces, unknown
-        return best[n], count[n]
+        """Best score and number of tokens of a text with its spaces marked.
+
+        The automaton reports matches by their ends, longest first, so each end's first match opens it and
+        only a strictly better one replaces it.
+        """
+        return self._known(text) if self.known.issuperset(text) else self._mixed(text)
+
+    def _known(self, text: str) -> tuple[float, int]:
+        best, count, at = [0.0], [0], 0
+        for end, (before, s) in self.automaton.iter(text):
+            start = end - before
+            x = best[start] + s
+            if end == at:
+                best.append(x)
+                count.append(count[start] + 1)
+                at += 1
+            elif x > best[at]:
+                best[at] = x
+                count[at] = count[start] + 1
+        return best[at], count[at]
+
+    def _mixed(self, text: str) -> tuple[float, int]:
+        """As `_known`, where a character that is no piece can be unknown, behind all other matches of its end."""
+        best, count, opened = [0.0], [0], [False]
+
+        def close(end: int) -> None:
+            """Opens what no match has opened before `end`, and offers the unknown character at each of these places."""
+            for i in range(max(1, len(best) - 1), end + 1):
+                fresh = i == len(best)
+                if text[i - 1] not in self.known:
+                    x = best[i - 1] + self.unknown
+                    if fresh or x > best[i]:
+                        n = count[i - 1] + (len(text[i - 1].encode()) if self.by_bytes else not opened[i - 1])
+                        best[i:], count[i:], opened[i:] = [x], [n], [not self.by_bytes]
+
+        for end, (before, s) in self.automaton.iter(text):
+            if len(best) <= end + 1:
+                close(end)
+            start = end - before
+            x = best[start] + s
+            if len(best) == end + 1:
+                best.append(x)
+                count.append(count[start] + 1)
+                opened.append(False)
+            elif x > best[end + 1]:
+                best[end + 1], count[end + 1], opened[end + 1] = x, count[start] + 1, False
+        close(len(text))
+        return best[-1], count[-1]
 
     def __missing__(self, chunk: str) -> int:
         if len(self) >= self.limit:
@@ -85,7 +114,7 @@ class Counter(dict):
         return n
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, _CHUNK.findall(" " + text.replace(SPACE, " ")))) if text else 0
+        return sum(map(self.__getitem__, self.chunks.findall(" " + text.replace(SPACE, " ")))) if text else 0
 
 
 _state: dict = {}
