@@ -6,13 +6,9 @@ become blocks; blocks are cut into sections by length; anchors of pages become l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from folia.functions import text as T
 from folia.sources.tables import table
@@ -44,21 +40,29 @@ def blocks_v(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("n", "text"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
+@F.pandas_udf("array<struct<s:int,block_start:int,block_end:int>>")
 def _by_length(sizes: pd.Series, limit: pd.Series) -> pd.Series:
-    """Section number of each block: a new one begins once the running length is beyond the limit."""
+    """A document's sections: a new one begins once the running length is beyond the limit."""
     out = []
     for own, most in zip(sizes, limit):
-        number, run, got = -1, None, []
-        for x in () if own is None else own:
-            if run is None or run > most:
-                number, run = number + 1, 0
-            got.append(number)
-            run += int(x)
-        out.append(np.array(got, np.int32))
+        starts, run = [], most + 1
+        for i, x in enumerate(() if own is None else own.tolist()):
+            if run > most:
+                starts.append(i)
+                run = 0
+            run += x
+        ends = [*starts[1:], 0 if own is None else len(own)]
+        out.append([{"s": k, "block_start": a, "block_end": z - 1} for k, (a, z) in enumerate(zip(starts, ends))])
     return pd.Series(out)
 
 
+def _cut(rows: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, s, block_start, block_end, lines) of rows (doc_id, lines), each section with its own lines only."""
+    of = _by_length(F.transform("lines", F.length), F.lit(limit))
+    own = F.transform("of", lambda x: F.struct(x["s"].alias("s"), x["block_start"].alias("block_start"), x["block_end"].alias("block_end"), F.slice("lines", x["block_start"] + 1, x["block_end"] - x["block_start"] + 1).alias("own")))
+    return rows.withColumn("of", of).select("doc_id", F.inline(own))
+
+
 def sections_by_length(docs: DataFrame, limit: int = 1800) -> DataFrame:
     """(doc_id, s, block_start, block_end, heading, text) of documents (doc_id, text), cut by running length.
 
@@ -66,14 +70,15 @@ def sections_by_length(docs: DataFrame, limit: int = 1800) -> DataFrame:
     40 characters. No shuffle: a document's blocks stay in its row.
     """
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = docs.select("doc_id", lines.alias("lines")).withColumn("of", _by_length(F.transform("lines", F.length), F.lit(limit)))
-    many = F.when(F.size("of") > 0, F.sequence(F.lit(0), F.element_at("of", -1)))
-    cut = rows.select("doc_id", "lines", "of", F.explode(many).alias("s"))
-    start = F.array_position("of", F.col("s")).cast("int") - 1
-    end = F.size("of") - F.array_position(F.reverse("of"), F.col("s")).cast("int")
-    placed = cut.withColumns({"block_start": start, "block_end": end})
-    own = F.slice("lines", F.col("block_start") + 1, F.col("block_end") - F.col("block_start") + 1)
-    return placed.select("doc_id", "s", "block_start", "block_end", F.left(F.get("lines", F.col("block_start")), F.lit(40)).alias("heading"), F.array_join(own, "\n\n").alias("text"))
+    cut = _cut(docs.select("doc_id", lines.alias("lines")), limit)
+    return cut.select("doc_id", "s", "block_start", "block_end", F.left(F.get("own", F.lit(0)), F.lit(40)).alias("heading"), F.array_join("own", "\n\n").alias("text"))
+
+
+def cut_by_length(blocks: DataFrame, limit: int = 1800) -> DataFrame:
+    """Sections (s from 1, with parent_heading) of paragraphs (doc_id, n, text) by running length."""
+    rows = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("b")).select("doc_id", F.col("b.text").alias("lines"))
+    heading = F.left(F.split_part(F.get("own", F.lit(0)), F.lit("\n"), F.lit(1)), F.lit(40))
+    return _cut(rows, limit).select("doc_id", (F.col("s") + 1).alias("s"), heading.alias("heading"), F.lit("").alias("parent_heading"), "block_start", "block_end")
 
 
 def sections_v(spark: SparkSession, d: str) -> DataFrame:
