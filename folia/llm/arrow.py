@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`kernel` over every Arrow batch of `df`; partitions stay as they are."""
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """`kernel` over every Arrow batch of `df`; partitions stay as they are. Columns may have any names."""
+    names, out = df.columns, StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(out.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := kernel(b)) is not None:
-                yield out
+            if b.num_rows and (got := kernel(pa.RecordBatch.from_arrays(b.columns, names))) is not None:
+                yield pa.RecordBatch.from_arrays(got.columns, plain.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, plain).toDF(*out.names)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, skip: tuple[int, int], limit: int) -> DataFrame:
@@ -46,12 +49,3 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, skip: tuple[int, in
 def held_out(fold: tuple[int, int]):
     """crc32(doc_id as text) leaves the remainder fold[1] modulo fold[0]; null ids aren't held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0] == fold[1], F.lit(False))
-
-
-def collect_arrow(df: DataFrame) -> pa.Table:
-    """A result of a bounded number of rows (models, boundaries) on the driver."""
-    return df.toArrow()
-
-
-def column(values: Iterable, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)

@@ -31,7 +31,7 @@ def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.scan(table(spark, d, "documents"))
+    return secrets.scan(table(spark, d, "documents"), public_tokenizers.path(RANKS))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:

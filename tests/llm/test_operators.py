@@ -107,19 +107,6 @@ def test_token_counts_equal_a_unigram_tokenizer(docs):
     assert got.count() == docs.count()
 
 
-def test_secrets():
-    t = 'Token = "abc123def" x PASSWORD:short1 api_key=12 AKIA' + "A" * 16 + " AKIAAB " + "0" * 23 + " " + "0a" * 12
-    found = [(secrets.KINDS[k], t[a:z]) for a, z, k in secrets.spans(t)]
-    assert ("assign", 'Token = "abc123def') in found and ("assign", "PASSWORD:short1") in found
-    assert ("access", "AKIA" + "A" * 16) in found and ("hex", "0a" * 12) in found
-    assert len([f for f in found if f[0] != "random"]) == 4
-    r = np.random.default_rng(5)
-    key = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 48))
-    assert [secrets.KINDS[k] for _, _, k in secrets.spans("key " + key + " end")] == ["random"]
-    assert secrets.spans("a_perfectly_ordinary_identifier_of_code and " + prose(50, 9)) == []
-    assert secrets.spans("ſecret=abcdefgh") == []  # letters beyond ASCII aren't those of the words
-
-
 def test_secrets_over_tables(docs, empty):
     got = secrets.scan(docs.withColumn("spans", docs["n_chars"])).collect()
     assert len(got) == docs.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
