@@ -14,6 +14,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """`name`, longer if need be, so that no column of `df` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """`kernel` over every Arrow batch of `df`; partitions stay as they are. Columns may have any names."""
     names, out = df.columns, StructType.fromDDL(schema) if isinstance(schema, str) else schema

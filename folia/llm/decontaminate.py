@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.arrow import free
 from folia.llm.shared import written
 
 SPAN, K = 13, 5
@@ -111,10 +112,11 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with n_words, n_hit, items and contaminated (in place of columns of these names)."""
-    docs = docs.drop("n_words", "n_hit", "items", "contaminated", "_key")
-    own = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
-    hit = find(docs, benchmark).select(F.col("key").alias("_key"), "n_hit", "items")
-    out = own.join(hit, "_key", "left").drop("_key")
+    docs = docs.drop("n_words", "n_hit", "items", "contaminated")
+    key = free(docs, "_key")
+    own = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
+    hit = find(docs, benchmark).select(F.col("key").alias(key), "n_hit", "items")
+    out = own.join(hit, key, "left").drop(key)
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
@@ -127,8 +129,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns; no text leaves its task on the way."""
-    hit = find(docs.select("text"), benchmark).select(F.col("key").alias("_key"), F.col("n_hit").alias("_hit"))
-    own = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    n = F.size(words(F.col("text")))
-    gone = own.select("_key", n.alias("_n")).distinct().join(hit, "_key").where(F.col("_hit") * 20 >= F.col("_n")).select("_key")
-    return own.join(gone, "_key", "left_anti").select(*docs.columns)
+    key = free(docs, "_key")
+    hit = find(docs.select("text"), benchmark).select(F.col("key").alias(key), F.col("n_hit").alias("_hit"))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    sizes = docs.select(digest.alias(key), F.size(words(F.col("text"))).alias("_n")).distinct()
+    gone = sizes.join(hit, key).where(F.col("_hit") * 20 >= F.col("_n")).select(key)
+    return docs.withColumn(key, digest).join(gone, key, "left_anti").drop(key)

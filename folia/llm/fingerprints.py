@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folia.llm import textkit as tk
 from folia.llm.arrow import map_batches, shuffle_partitions
@@ -86,7 +87,7 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 def fingerprint(df: DataFrame, text: str = "text", k: int = K, words: int = 5, out: str = "fingerprint") -> DataFrame:
     """`df` with the sketch of its `text` column as a string column `out` (replaced if there)."""
     df = df.drop(out) if out != text else df
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` string"
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         got: list[str] = []

@@ -6,10 +6,12 @@ pairs are compared a few values at a time, and a pair is dropped as soon as the
 (uniform prior) that its similarity reaches THRESHOLD is below TOLERANCE. What is left is verified exactly
 on the shingle sets.
 
-No step writes all pairs of a group: a bucket's kernel returns a spanning forest of its surviving pairs,
-whose components are verified by matrix products, block by block; from there come the exact number of
-links of every document and again a spanning forest, whose components are the classes. Large buckets and
-components are dealt to tasks in pairs of blocks of BLOCK members.
+No step writes all pairs of a group: a bucket's kernel returns a spanning forest of its surviving pairs.
+The members of a component of these forests are verified with each other by matrix products, BLOCK by BLOCK
+members a task, with their copies taken as one. That is every surviving pair, and those that the posterior
+dropped or no bucket held but which other survivors connect, so a link inside a component is never lost; the
+number of links of every document needs all of them anyway. From there comes again a spanning forest, whose
+components are the classes. Sets are told apart by 128-bit digests.
 
 A document's links are the other documents of similarity THRESHOLD or more, copies included; its class id is
 the least doc_id of all that it reaches over links, its copy id that of its copy class. Null and empty
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from folia.llm import textkit as tk
 from folia.llm.arrow import map_batches
-from folia.llm.shared import written
+from folia.llm.shared import drop, written
 
 THRESHOLD, WORDS = 0.8, 5
 BANDS, ROWS = 32, 5
@@ -149,10 +151,10 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 left.append(ids[p])
                                 right.append(ids[q])
         if len(left) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
             left, right = [], []
     if left:
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -219,7 +221,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["id", "links", "near"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["id", "links", "near"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,14 +234,17 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written: both sides of their joins are then plain shuffles, of which a node of very many edges can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: the larger neighbours of a node go to its least one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = written(large, "edges")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "edges")
         # small star: a node and its smaller neighbours go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "edges")
+        after = written(small, "edges")
+        for old in (now, least, large, low):
+            drop(old)
+        now = after
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             return now.select(F.col("u").alias("id"), F.col("v").alias("class")).union(now.select(F.col("v"), F.col("v"))).distinct()
@@ -274,16 +279,18 @@ def join(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "sig", "bands"])
 
     signed = written(map_batches(docs, sign, "doc_id long, key binary, sig binary, bands array<long>"), "signed")
-    ids = written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("id", F.xxhash64("key")), "classes")
+    ids = written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("id", F.col("key")), "classes")
     reps = signed.join(ids.select("key", "id", F.col("first").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"]).select("id", "sig", "bands")
     reps = written(reps, "reps")
 
-    buckets = reps.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("_m"), F.sum(F.hash("id").cast("long")).alias("_h")).where("n > 1")
-    buckets = buckets.groupBy("n", "_m", "_h").agg(F.min("band").alias("band")).select("band", "n")  # the same members once
+    # buckets of the same members are looked at once; they are told apart by 128 bits, like the sets themselves
+    told = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"_{i}") for i in range(2)]
+    buckets = reps.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n"), *told).where("n > 1")
+    buckets = buckets.groupBy("n", "_0", "_1").agg(F.min("band").alias("band")).select("band", "n")
     buckets = written(buckets, "buckets")
     in_band = reps.select("id", "sig", F.explode("bands").alias("band"))
     dealt = _blocked(in_band.join(buckets.select("band"), "band", "left_semi"), "band", buckets)
-    proposed = dealt.select("band", "i", "j", "block", "id", "sig").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_propose, "a long, b long")
+    proposed = dealt.select("band", "i", "j", "block", "id", "sig").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_propose, "a binary, b binary")
     maybe = written(components(proposed).withColumnRenamed("class", "comp"), "maybe")
 
     # the sets of the members of components, from their texts again
@@ -295,9 +302,9 @@ def join(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "id", "copies")), pa.array([hashlib.md5(s).digest() == k for s, k in zip(got, b.column("key").to_pylist())]), pa.array(got, pa.binary())], ["comp", "id", "copies", "own", "set"])
 
     texts = docs.join(want.select(F.col("first").alias("doc_id"), "id", "comp", "copies", "key"), "doc_id")
-    members = map_batches(texts.select("comp", "id", "copies", "key", "text"), sets, "comp long, id long, copies long, own boolean, set binary").where("own").drop("own").dropDuplicates(["id"])
+    members = map_batches(texts.select("comp", "id", "copies", "key", "text"), sets, "comp binary, id binary, copies long, own boolean, set binary").where("own").drop("own").dropDuplicates(["id"])
     blocks = _blocked(members, "comp", sizes).select("comp", "i", "j", "block", "id", "copies", "set")
-    checked = written(blocks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify, "id long, links long, near long"), "links")
+    checked = written(blocks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify, "id binary, links long, near binary"), "links")
     classes = components(checked.where("near is not null").select(F.col("id").alias("a"), F.col("near").alias("b")))
     degree = checked.groupBy("id").agg(F.sum("links").alias("links"))
     nodes = ids.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))

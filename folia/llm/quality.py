@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folia.llm import textkit as tk
-from folia.llm.arrow import held_out, labelled, map_batches
+from folia.llm.arrow import free, held_out, labelled, map_batches
 
 BITS = 18
 #: Most labelled rows that are learnt from.
@@ -108,8 +109,7 @@ def score(docs: DataFrame, weights: np.ndarray, out: str = "score") -> DataFrame
         p = 1 / (1 + np.exp(-(np.array(got) + float(w[-1]))))
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` double"
-    return map_batches(docs, kernel, schema)
+    return map_batches(docs, kernel, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,4 +120,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with their own columns."""
-    return score(docs, train(docs, labels), "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    own = free(docs, "_quality")
+    return score(docs, train(docs, labels), own).where(F.col(own) >= THRESHOLD).drop(own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it isn't set, as in tests, one of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it isn't set and the session is local, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table written once and read again: its work isn't repeated, and no executor's loss takes it away."""
+    """`df` as a table written once and read again: its work isn't repeated, and no executor's loss takes it away.
+
+    The table stays until the shared folder is cleared: results are read from it after the operator has returned.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
