@@ -1,16 +1,19 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A logistic classifier over a block's length, links, punctuation and the
-names of the elements around it gives each block the cost of calling it content or boilerplate, which
+A page is cut into blocks of text. A logistic classifier over a block's length, links, punctuation, kind, and
+the elements and names around it gives each block the cost of calling it content or boilerplate, which
 become the capacities of its edges to the two terminals; neighbours in page order and blocks of one parent
 element are tied by edges that cost when they are labelled apart. The maximum flow's minimum cut separates
 content from boilerplate for the page as a whole. The classifier's weights are learnt on a bounded sample
-of pages (SAMPLE) whose own elements (article, main, nav, footer, ...) serve as labels; what no text can be
-(head, scripts, styles, forms' controls) never becomes a block.
-
-Inside a block white space becomes one space, character references are decoded, a line break is white
-space; blocks are joined in page order by one line feed. Null or empty html gives an empty text. Pages with
-the same id are independent rows. Other columns are passed over.
+of pages (SAMPLE) whose own elements (article, main) serve as labels, every page once as it is and twice
+with what its elements say left out, so that it can also judge pages without them; weights of features that
+the sample doesn't show stay near PRIOR.
+
+What no text can be never becomes a block: the head, scripts, styles, forms' controls, pictures and what
+stands in for media; such elements and all inline ones don't end a block. Inside a block white space becomes
+one space, character references are decoded, a line break is white space; blocks are joined in page order by
+one line feed. Null or empty html gives an empty text, as does a page without blocks. Pages with the same id
+are independent rows. Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -32,58 +35,84 @@ from folia.llm.arrow import map_batches
 SAMPLE = 2_000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_REPLIES = re.compile(r"^\W*(?:\d+\s+)?(?:comments?|repl(?:y|ies)|responses?|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)(?:\s*\(?\d+\)?)?\W*$", re.I)
+
+_IMPRINT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos)", re.I)
 
-# fixed values: elements and the words of class names, by what they say of a block
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol p pre section summary table tbody td template tfoot th thead title tr ul".split())
+# fixed values: elements, and names of elements, by what they say of a block
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea select button svg math iframe object canvas audio video title head".split())
-_GOOD = frozenset("article main".split())
-_BAD = frozenset("nav header footer aside form dialog menu".split())
-_BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs button comment comments consent cookie cookies copyright disclaimer disqus footer form login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup popular promo promoted recommended related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
-#: Their names say how the whole page looks.
-_WHOLE = frozenset("html body article main".split())
-_GOOD_WORDS = frozenset("article body content entry hentry main post story text".split())
-_CLOSES_P = _BLOCKS - {"html", "body", "head"}
-_SHUTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_RAW = frozenset("script style textarea title".split())
+_SKIPPED = _RAW | frozenset("head noscript template select button svg iframe object canvas audio video datalist".split())
+_SHUTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+_CLOSES_P = _BLOCKS - {"html", "body"}
+_GOOD_NAMES = frozenset("article articlebody article-body body content entry entry-content hentry main main-content maincontent post post-body post-content postbody story story-body text".split())
+_AD_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense ad-banner ad-slot promo promoted sponsor sponsored".split())
+_REPLY_NAMES = frozenset("comment comments commentlist comment-list comments-area discussion disqus disqus_thread feedback replies respond responses thread".split())
+_BAD_NAMES = frozenset("banner breadcrumb breadcrumbs button consent contentinfo cookie cookies copyright disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popular popup recommended related reply search share sharing sidebar signup skip social subscribe tags toolbar widget".split())
+#: What the elements around a block say, one bit each.
+_ELEMENTS = ("article", "nav", "header", "footer", "aside", "form", "dialog", "good_name", "bad_name", "bad_part", "ad_name", "replies")
+_BIT = {n: 1 << i for i, n in enumerate(_ELEMENTS)}
+_TAG_BIT = {"article": "article", "main": "article", "nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "form": "form", "dialog": "dialog"}
+
+
+def _says(tag: str, attributes: str, around: int) -> int:
+    """The bits of an element inside others: a header inside an article is the article's own."""
+    bits = around
+    if tag in _TAG_BIT:
+        bits |= _BIT[_TAG_BIT[tag]]
+    elif tag == "header" and not around & _BIT["article"]:
+        bits |= _BIT["header"]
+    if "=" in attributes and tag not in ("html", "body"):
+        for name in " ".join("".join(x) for x in _NAMES.findall(attributes)).lower().split():
+            if name in _AD_NAMES:
+                bits |= _BIT["ad_name"]
+            elif name in _REPLY_NAMES:
+                bits |= _BIT["replies"]
+            elif name in _BAD_NAMES:
+                bits |= _BIT["bad_name"]
+            elif name in _GOOD_NAMES:
+                bits |= _BIT["good_name"]
+            elif not _BAD_NAMES.isdisjoint(parts := re.split(r"[-_]", name)) or not _AD_NAMES.isdisjoint(parts):
+                bits |= _BIT["bad_part"]
+            elif not _REPLY_NAMES.isdisjoint(parts):
+                bits |= _BIT["replies"]
+    return bits
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "parent", "good", "bad", "good_words", "bad_words", "depth")
+    __slots__ = ("text", "linked", "tag", "parent", "bits")
 
-    def __init__(self, text, linked, stack):
-        self.text, self.linked, self.depth = text, linked, len(stack)
-        self.tag = stack[-1][0] if stack else ""
-        self.parent = stack[-2][3] if len(stack) > 1 else 0
-        last_good = max((i for i, x in enumerate(stack) if x[0] in _GOOD), default=-1)
-        self.good = last_good >= 0
-        self.bad = any(x[0] in _BAD and not (x[0] == "header" and i > last_good >= 0) for i, x in enumerate(stack))
-        self.good_words, self.bad_words = any(x[1] for x in stack), any(x[2] for x in stack)
+    def __init__(self, text: str, linked: float, tag: str, parent: int, bits: int):
+        self.text, self.linked, self.tag, self.parent, self.bits = text, linked, tag, parent, bits
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, int, int]] = []  # element, its number, what it and those around it say
     text: list[str] = []
-    state = {"linked": 0, "in_a": False, "n": 0}
+    linked, in_a, n = 0, False, 0
 
     def flush() -> None:
+        nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, state["linked"] / len(joined), stack))
+                tag, _, bits = stack[-1] if stack else ("", 0, 0)
+                out.append(Block(joined, min(1.0, linked / len(joined)), tag, stack[-2][1] if len(stack) > 1 else 0, bits))
             text.clear()
-        state["linked"] = 0
+        linked = 0
 
     def add(raw: str) -> None:
+        nonlocal linked
         if raw:
             raw = html.unescape(raw) if "&" in raw else raw
             text.append(raw)
-            if state["in_a"]:
-                state["linked"] += len(raw.strip())
+            if in_a:
+                linked += len(raw.strip())
 
-    def close(tag: str, until: frozenset[str] | tuple[str, ...] = ()) -> None:
+    def close(tag: str, until: tuple[str, ...] = ()) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 flush()
@@ -92,55 +121,72 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in until:
                 return
 
-    at, n = 0, len(page)
-    while at < n:
+    at, size = 0, len(page)
+    while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
-            cut = page.rfind("<", at)  # a tag that the page's end cuts off
-            add(page[at : cut if cut >= 0 and re.match(r"<[a-zA-Z/!]", page[cut:]) else n])
+            cut_off = page.rfind("<", at)  # a tag that the page's end cuts off
+            add(page[at : cut_off if cut_off >= 0 and re.match(r"<[a-zA-Z/!]", page[cut_off:]) else size])
             break
         add(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        closed = m[3].rstrip().endswith("/")
         if m[1]:
             if tag == "a":
-                state["in_a"] = False
+                in_a = False
             elif tag in _BLOCKS:
                 close(tag)
-        elif tag in _RAW:
+        elif tag in _SKIPPED:
+            if closed and tag not in _RAW:
+                continue
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            flush()
-            at = end.end() if end else n if tag != "head" else at
+            at = end.end() if end else size if tag in _RAW else at
         elif tag == "a":
-            state["in_a"] = True
-        elif tag in ("br", "img", "wbr"):
-            text.append(" ")
+            in_a = True
+        elif tag in ("br", "img", "wbr", "input"):
+            text.append("" if tag == "wbr" else " ")
         elif tag in _BLOCKS:
             flush()
             if tag in _CLOSES_P:
                 close("p", ("td", "th", "div", "article", "section", "li", "blockquote"))
             for other in _SHUTS.get(tag, ()):
                 close(other, ("ul", "ol", "dl", "table"))
-            state["in_a"] = False
-            if tag not in _VOID and not m[3].rstrip().endswith("/"):
-                words = set()
-                for names in _NAMES.findall(m[3]) if "=" in m[3] and tag not in _WHOLE else ():
-                    words |= set(_WORD.findall("".join(names).lower()))
-                state["n"] += 1
-                stack.append((tag, bool(words & _GOOD_WORDS), bool(words & _BAD_WORDS), state["n"]))
+            in_a = False
+            if tag not in _VOID and not closed:
+                n += 1
+                stack.append((tag, n, _says(tag, m[3], stack[-1][2] if stack else 0)))
     flush()
     return out
 
 
-def features(b: Block) -> list[float]:
-    words = b.text.count(" ") + 1
-    return [1.0, math.log1p(words), b.linked, sum(b.text.count(c) for c in ".,;:!?") / words, float(b.tag == "p"), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag == "li"), float(b.good_words), float(b.bad_words)]
+#: Features of a block: the text's own, then what its elements say, then that another part of the page is an article's, that replies begin above, and that it is an imprint.
+_OWN = ("one", "words", "linked", "marks", "p", "heading", "li")
+_NAMES_OF = (*_OWN, *_ELEMENTS, "elsewhere", "below_replies", "imprint")
+#: Used where the sample has no labels, and drawn towards by learning.
+PRIOR = np.array([-1.0, 0.6, -3.0, 0.5, 0.8, 0.3, -0.5, 4.0, -5.0, -3.0, -5.0, -4.0, -4.0, -5.0, 1.5, -3.5, -1.0, -7.0, -6.0, -4.0, -7.0, -4.0])
+_HIDDEN = [i for i, n in enumerate(_NAMES_OF) if n in (*_ELEMENTS, "elsewhere")]
 
 
-#: Used where the sample has no labels, and drawn towards by learning.
-PRIOR = np.array([-1.0, 0.6, -3.0, 0.5, 0.8, 0.3, -0.5, 0.8, -4.0])
+#: How strongly learning is drawn towards PRIOR, for each example.
+DRAW = 0.01
+
+
+def features(own: list[Block]) -> np.ndarray:
+    """One row of features for each block of a page."""
+    out = np.zeros((len(own), len(_NAMES_OF)))
+    some = any(b.bits & _BIT["article"] for b in own)
+    below: set[int] = set()
+    for i, b in enumerate(own):
+        n = b.text.count(" ") + 1
+        heading = b.tag[:1] == "h" and b.tag[1:].isdigit()
+        if len(b.text) < 40 and _REPLIES.match(b.text):
+            below.add(b.parent)
+        bits = [float(bool(b.bits & _BIT[x])) for x in _ELEMENTS]
+        out[i] = [1.0, math.log1p(n), b.linked, min(1.0, sum(b.text.count(c) for c in ".,;:!?") / n), b.tag == "p", heading, b.tag == "li", *bits, some and not bits[0], b.parent in below, bool(_IMPRINT.match(b.text))]
+    return out
 
 
 def learn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -149,10 +195,11 @@ def learn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(y) == 0 or y.min() == y.max():
         return w
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    draw = DRAW * len(y)
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 5 * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + 5 * (w - PRIOR)), -1, 1)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + draw * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + draw * (w - PRIOR)), -1, 1)
     return w
 
 
@@ -212,46 +259,53 @@ def cut(bias: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     return label
 
 
-#: Strength of the page's own elements against the classifier, of ties in page order, and of ties of one parent.
-ELEMENT, ORDER, SIBLING = 6.0, 0.4, 0.3
+#: Most that a block's own features weigh, and the strengths of ties in page order and of ties of one parent.
+MOST, ORDER, SIBLING = 6.0, 0.7, 0.6
 
 
-def main_text(page: str | None, w: np.ndarray) -> str:
-    own = blocks(page) if page else []
-    if not own:
-        return ""
-    any_good = any(b.good for b in own)
-    bias = []
-    for b in own:
-        x = float(np.dot(features(b), w))
-        x = max(-4.0, min(4.0, x))
-        x += ELEMENT * (b.good - 2 * b.bad) - (ELEMENT if any_good and not b.good else 0) - (2.5 * ELEMENT if b.bad_words else 0)
-        bias.append(x)
+def costs(own: list[Block], w: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """What each block costs if it isn't content (less than 0: if it is), and the ties."""
+    bias = np.clip(features(own) @ w, -MOST, MOST).tolist()
     ties, before = [], {}
     for i, b in enumerate(own):
         if i:
-            ties.append((i - 1, i, ORDER * (2.0 if own[i - 1].parent == b.parent else 1.0)))
+            ties.append((i - 1, i, ORDER * (1.0 if own[i - 1].parent == b.parent else 0.5)))
         if before.get(b.parent, i - 1) < i - 1:
             ties.append((before[b.parent], i, SIBLING))
         before[b.parent] = i
-    return "\n".join(b.text for b, keep in zip(own, cut(bias, ties)) if keep)
+    return bias, ties
+
+
+def main_text(page: str | None, w: np.ndarray) -> str:
+    own = blocks(page) if page else []
+    if not own:
+        return ""
+    return "\n".join(b.text for b, keep in zip(own, cut(*costs(own, w))) if keep)
+
+
+def examples(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a page with articles: each block as it is, with what the elements around it say left out, and with its own kind left out, too."""
+    own = blocks(page)
+    x = features(own)
+    y = np.array([float(bool(b.bits & _BIT["article"]) and not b.bits & (_BIT["nav"] | _BIT["footer"] | _BIT["aside"] | _BIT["form"] | _BIT["ad_name"] | _BIT["replies"])) for b in own])
+    if not y.any():
+        return x[:0], y[:0]
+    bare, text = x.copy(), x.copy()
+    bare[:, _HIDDEN] = 0
+    text[:, [*_HIDDEN, *range(4, 7)]] = 0
+    return np.vstack([x, bare, text]), np.concatenate([y, y, y])
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from the pages with the smallest hashes, in one task."""
     rows = pages.select(F.xxhash64("url", "html").alias("h"), "html").where("html is not null")
+    # `sample` bounds the side that is sent to all executors
     chosen = rows.join(F.broadcast(rows.select("h").distinct().orderBy("h").limit(sample)), "h").dropDuplicates(["h"]).select("h", "html").repartition(1).sortWithinPartitions("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
-        for batch in batches:
-            for page in batch.column("html").to_pylist():
-                for b in blocks(page):
-                    if b.good != b.bad:
-                        x.append(features(b))
-                        y.append(float(b.good))
-        got = learn(np.array(x).reshape(-1, len(PRIOR)), np.array(y))
-        yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], ["w"])
+        got = [examples(page) for batch in batches for page in batch.column("html").to_pylist()]
+        w = learn(np.vstack([x for x, _ in got]), np.concatenate([y for _, y in got])) if got else PRIOR
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["w"])
 
     got = chosen.mapInArrow(run, "w array<double>").collect()  # one short row
     return np.array(got[0]["w"]) if got else PRIOR

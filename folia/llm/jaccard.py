@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm import textkit as tk
-from folia.llm.arrow import map_batches
+from folia.llm.arrow import free, map_batches
 from folia.llm.shared import drop, written
 
 THRESHOLD, WORDS = 0.8, 5
@@ -318,5 +318,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least doc_id (with all its rows, if it has several); rows without doc_id stay."""
     classes = join(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     gone = classes.where("class_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    own = free(docs, "_gone")
+    gone = gone.withColumnRenamed("doc_id", own)
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")
