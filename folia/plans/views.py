@@ -116,13 +116,13 @@ def queries_v(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outline_v(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, b, k, c, t): up to 21 blocks as outline nodes with depths 1,2,3,3,2,3,3 repeated."""
-    b = blocks_v(spark, d).where("n < 21").withColumn("m", F.col("n") % 7)
+    """(doc_id, b, k, c, t): all blocks as outline nodes with depths 1,2,3,3,2,3,3 repeated."""
+    b = blocks_v(spark, d).withColumn("m", F.col("n") % 7)
     chapter, task = (F.col("n") / 7).cast("int") + 1, F.when(F.col("m") <= 3, 1).otherwise(2)
     item = F.when(F.col("m").isin(2, 5), 1).otherwise(2)
     code = F.when(F.col("m") == 0, chapter.cast("string")).when(F.col("m").isin(1, 4), F.concat_ws(".", chapter, task)).otherwise(F.concat_ws(".", chapter, task, item))
     kind = F.when(F.col("m") == 0, "ch").when(F.col("m").isin(1, 4), "task").when(F.col("m") == 3, "link").when(F.col("m") == 6, "bullet").otherwise("item")
-    return b.select("doc_id", F.col("n").alias("b"), kind.alias("k"), code.alias("c"), F.left("text", F.lit(60)).alias("t"))
+    return b.select("doc_id", F.col("n").alias("b"), kind.alias("k"), code.alias("c"), F.col("text").alias("t"))
 
 
 # ---- the same views in DuckDB's SQL -------------------------------------------------------------
@@ -174,8 +174,8 @@ BOOK = f"""book_v AS (SELECT source AS book, (row_number() OVER (PARTITION BY so
 QUERIES = """queries_v AS (SELECT item_id AS q, array_to_string(string_split(regexp_replace(text, '[\n ]+', ' ', 'g'), ' ')[2:4], ' ') AS raw FROM benchmark)"""
 OUTLINE = f"""outline_v AS (
   SELECT doc_id, n::INTEGER AS b, CASE WHEN m = 0 THEN 'ch' WHEN m IN (1, 4) THEN 'task' WHEN m = 3 THEN 'link' WHEN m = 6 THEN 'bullet' ELSE 'item' END AS k,
-    CASE WHEN m = 0 THEN ch WHEN m IN (1, 4) THEN ch || '.' || tk ELSE ch || '.' || tk || '.' || CASE WHEN m IN (2, 5) THEN '1' ELSE '2' END END AS c, left(text, 60) AS t
-  FROM (SELECT *, n % 7 AS m, (n // 7 + 1)::VARCHAR AS ch, CASE WHEN n % 7 <= 3 THEN '1' ELSE '2' END AS tk FROM blocks_v WHERE n < 21))"""
+    CASE WHEN m = 0 THEN ch WHEN m IN (1, 4) THEN ch || '.' || tk ELSE ch || '.' || tk || '.' || CASE WHEN m IN (2, 5) THEN '1' ELSE '2' END END AS c, text AS t
+  FROM (SELECT *, n % 7 AS m, (n // 7 + 1)::VARCHAR AS ch, CASE WHEN n % 7 <= 3 THEN '1' ELSE '2' END AS tk FROM blocks_v))"""
 
 
 def with_views(*views: str, body: str) -> str:
