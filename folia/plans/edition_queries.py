@@ -12,7 +12,6 @@ from folia.functions import spacing
 from folia.functions import text as T
 from folia.plans import index_queries as I
 from folia.plans import link_queries as L
-from folia.plans import match_queries as M
 from folia.plans import views as V
 from folia.registry import query
 from folia.sources.tables import table
@@ -198,30 +197,6 @@ def plan_storage(spark, d):
     return first_fit(V.docs_v(spark, d).select("year", "doc_id", F.coalesce("bytes", F.lit(0)).alias("bytes")), 100_000)
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """(item, doc_id, score): pairs taken in the order of score, item and document, none used twice.
-
-    Each round takes every pair that is the best of both its sides, which is what taking them one by one
-    does under a total order; what they use up is dropped, and the rest goes to a shared table.
-    """
-    left, taken = pairs.select("item", "doc_id", "score"), None
-    while True:
-        order = [F.desc("score"), "item", "doc_id"]
-        ranked = left.withColumns({"_a": F.row_number().over(Window.partitionBy("item").orderBy(*order)), "_b": F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))})
-        now = written(ranked.where("_a = 1 AND _b = 1").select("item", "doc_id", "score"), "pairs")
-        taken = now if taken is None else taken.union(now)
-        left = written(left.join(now.select("item"), "item", "left_anti").join(now.select("doc_id"), "doc_id", "left_anti").select("item", "doc_id", "score"), "left")
-        if left.isEmpty():
-            return taken
-
-
-@query()
-def plan_batch(spark, d):
-    items = M._items(spark, d).select(F.col("doc_id").alias("item"))
-    plan = one_to_one(written(M._matches(spark, d), "candidates"))
-    return items.join(plan, "item", "left").select("item", F.when(F.col("doc_id").isNull(), "add").otherwise("replace").alias("action"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
-
-
 @query()
 def join_spaced(spark, d):
     apart = F.array_join(F.split("text", ""), " ")

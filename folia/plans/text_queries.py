@@ -33,7 +33,7 @@ def repair_spacing(spark, d):
 
 @query(f"SELECT doc_id, {V.sql_norm('text')} AS key FROM documents")
 def norm_text(spark, d):
-    return _docs(spark, d).select("doc_id", T.norm(F.col("text")).alias("key"))
+    return T.normalized(_docs(spark, d), "text").select("doc_id", T.norm(F.col("text")).alias("key"))
 
 
 @query(f"SELECT doc_id, array_to_string({V.sql_grams(V.sql_norm('text'))}, ' ') AS grams FROM documents")

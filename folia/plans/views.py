@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from folia.functions import text as T
 from folia.sources.tables import table
@@ -40,7 +41,7 @@ def blocks_v(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("n", "text"))
 
 
-@F.pandas_udf("array<struct<s:int,block_start:int,block_end:int>>")
+@F.pandas_udf(ArrayType(StructType([StructField(n, IntegerType()) for n in ("s", "block_start", "block_end")])))
 def _by_length(sizes: pd.Series, limit: pd.Series) -> pd.Series:
     """A document's sections: a new one begins once the running length is beyond the limit."""
     out = []

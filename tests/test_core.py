@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from folia import registry
 from folia.functions import text as T
-from folia.plans.match_queries import similar_keys
+from folia.operators.matching import similar_keys
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
