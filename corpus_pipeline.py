@@ -6,8 +6,9 @@
 4. secrets: spans of secrets are replaced by a mark in the text; no document goes.
 5. tokens: the texts' byte-level BPE ids, with digests of the ids and of the decoded bytes.
 
-Stages 1 to 4 return the columns of documents. A null or empty text passes stages 2 to 4 as it is and has
-no ids; stage 1 judges it by the classifier's bias.
+Stages 1 to 4 return the columns of documents, and any others, whatever their names. A null or empty text
+passes stages 2 to 4 as it is and has no ids; stage 1 judges it by the classifier's bias. Repeated rows of one
+doc_id stay together: with equal texts stages 2 to 5 treat them alike. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secrets.redact(docs, public_tokenizers.path(RANKS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The classifier and the join's pruning have no counterpart in SQL; tests compare run() with a brute-force version.
+#: The classifier and the join's pruning have no counterpart in SQL; tests compare each stage's rows with a brute-force version.
 ORACLE_SQL = None
 
 
