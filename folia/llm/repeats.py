@@ -6,7 +6,7 @@ each window of SPAN bytes the K bytes with the least hash are its anchor, so equ
 anchors at equal places, and windows in a row mostly share one. Spark's external sort (runs on disk, merged
 by priority queues) orders the anchors; an anchor that stands in one place only settles all its windows as
 unique. Around the others the bytes of their windows travel to the anchor's partition, where windows are
-named by 64-bit hashes and those of two or more places are repeated.
+named by 64 bits of two independent hashes, and those of two or more places are repeated.
 
 Everything is said of texts, not rows: a text of two or more rows is repeated as a whole if it is long
 enough, and stands for one place towards others, so copies cost nothing. An anchor with very many places is
@@ -43,6 +43,11 @@ _AT = np.uint64((1 << 22) - 1)
 _PART = 1 << 21
 
 
+def _name(buf: np.ndarray, prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit names of byte spans, from hashes in two rings: strings made to collide in one differ in the other."""
+    return tk.mix(tk.span_hash(prefix, s, e) + tk.prime_hash(tk.prime_prefix(buf), s, e) * tk.U(0xC2B2AE3D27D4EB4F))
+
+
 def _least(h: np.ndarray, wide: int) -> np.ndarray:
     """The minimum of each `wide` entries in a row."""
     m, size = h, 1
@@ -73,7 +78,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, span: int = SPAN, k: int = K) ->
     row_f = row[first]
     last = np.minimum(np.append(np.flatnonzero(new)[1:], len(best))[np.cumsum(new)[first] - 1] - 1, offs[row_f + 1] - span)
     place = best[first]
-    whole = tk.span_hash(prefix, first, last + span).view(np.int64)
+    whole = _name(buf, prefix, first, last + span).view(np.int64)
     return row_f, h[place].view(np.int64), place - offs[row_f], first - offs[row_f], last - offs[row_f], whole
 
 
@@ -140,7 +145,7 @@ def _names(contents: list[bytes], keys: np.ndarray, starts: np.ndarray) -> tuple
     row = np.repeat(np.arange(len(n)), n)
     inner = np.arange(begin[-1]) - begin[row]
     at = offs[row] + inner
-    return tk.span_hash(prefix, at, at + SPAN), _site(keys[row], starts[row] + inner), row, inner, begin
+    return _name(buf, prefix, at, at + SPAN), _site(keys[row], starts[row] + inner), row, inner, begin
 
 
 def _hot_names(batches: Iterator[pa.RecordBatch], windows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
@@ -291,7 +296,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept (the remaining bytes) of every document."""
     some, ids = find(docs)
     cut = map_batches(some, _cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
@@ -311,11 +316,12 @@ def _joined(own: DataFrame, cut: DataFrame, copies: DataFrame, texts: bool) -> D
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
+    cols.append((cols[2] > 0).alias("repeated"))
     return out.select(*cols, *([F.when(whole, F.lit(b"")).otherwise(F.coalesce("kept", F.encode("text", "UTF-8"))).alias("kept")] if texts else []))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; whole texts stay where they are read."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether any is removed) of every document; whole texts stay where they are read."""
     some, ids = find(docs)
     cut = map_batches(some, _cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))

@@ -92,6 +92,37 @@ def span_hash(prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((prefix[e] - prefix[s]) * inv[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+#: A prime field beside arithmetic modulo 2^64, in which no strings are known that collide for every base.
+_Q, _B = U(2**31 - 1), 1_234_567_891
+
+
+def _prime_powers(name: str, base: int, n: int) -> np.ndarray:
+    """Powers of a base in the prime field, by doubling."""
+    have = _powers.get(name)
+    if have is None or len(have) < n:
+        out = np.ones(max(n, 1 << 21), U)
+        size, step = 1, U(base)
+        while size < len(out):
+            more = min(size, len(out) - size)
+            out[size : size + more] = out[:more] * step % _Q
+            size, step = size + more, step * step % _Q
+        _powers[name] = have = out
+    return have[:n]
+
+
+def prime_prefix(buf: np.ndarray) -> np.ndarray:
+    """Prefix sums for `prime_hash`; of at most 2^32 bytes, so that sums stay below 2^63."""
+    out = np.zeros(len(buf) + 1, U)
+    np.cumsum((buf.astype(U) + U(1)) * _prime_powers("q", _B, len(buf)) % _Q, out=out[1:], dtype=U)
+    return out
+
+
+def prime_hash(prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """31-bit hashes of the byte spans [s, e), independent of `span_hash`."""
+    inv = _prime_powers("r", pow(_B, -1, int(_Q)), len(prefix))
+    return (prefix[e] - prefix[s]) % _Q * inv[s] % _Q
+
+
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles and, with one more entry than rows, where each row's begin.
 
