@@ -1,7 +1,7 @@
 """Toxicity: a support vector machine over a subsequence string kernel with Nyström landmarks.
 
 The kernel counts the common subsequences of P bytes of two strings, each weighed by DECAY to the length
-it spans, so gaps and inserted characters cost something but don't hide a word. A text is toxic if one of
+it spans, as a cosine, so gaps and inserted characters cost something but don't hide a word. A text is toxic if one of
 its words is, so the machine judges words. A text's score is a logistic curve of its worst word's margin and of how many
 of its words lie beyond the border. Words are runs of visible bytes in lower case; four or more single characters in a row
 count as one more word, a word with other characters between its letters counts without them, too, and
@@ -9,8 +9,9 @@ words of more than WIDE bytes are judged in overlapping parts.
 
 Only labelled texts are learnt from, at most SAMPLE of them: substrings of words (with the space before
 the word as a character) that stand in toxic texts far more often than chance has it become the landmarks,
-greedily until few toxic texts are left unexplained; the words that hold them are the positive examples,
-words of the other texts the negative ones. A word that shares too few letters, or too few pairs of near
+greedily until few toxic texts are left unexplained, LANDMARKS at most, which bounds the model, not the
+texts; the words that hold them are the positive examples, words of the other texts the negative ones, so
+words get their labels from the sentences that hold them. A word that shares too few letters, or too few pairs of near
 letters, with a landmark has the kernel value 0 with it.
 
 Nulls count as empty texts; a text without words has the least margin. Other columns are passed over.
@@ -37,7 +38,7 @@ LANDMARKS, HARMLESS = 96, 32
 SURE = 14.0
 #: What all harmless words weigh against all insults in the machine's loss.
 HARSH = 1.2
-P, DECAY, POWER = 3, 0.8, 4
+P, DECAY, POWER = 3, 0.8, 2
 WIDE = 48
 SIZES = range(4, 10)
 FOLD = (3, 1)
@@ -115,34 +116,43 @@ def _wide(mark: bytes) -> np.ndarray:
     return np.frombuffer(mark.replace(b" ", b"  "), np.uint8)
 
 
-def kernel(rows: np.ndarray, mark: bytes) -> np.ndarray:
-    """Gap-weighted common subsequences of P bytes of each row and a landmark, over the landmark's own.
-
-    At most 1, so that a long word isn't like everything, and to the power POWER, which is a kernel again
-    and tells holding a landmark from holding scattered parts of it.
-    """
-    if not len(rows):
-        return np.zeros(0, np.float32)
-    t = _wide(mark)
-    m = len(t)
+def _common(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Gap-weighted common subsequences of P bytes of each row of `x` and `t`, one string for all or a row each; 0 fills rows up."""
+    m = t.shape[-1]
     gap = np.array([[DECAY ** (j - i) if j >= i else 0 for j in range(m)] for i in range(m)], np.float32)
+    same = ((x[:, :, None] == t) & (x[:, :, None] > 0)) * np.float32(DECAY * DECAY)
+    ends = same
+    for _ in range(P - 1):
+        across = ends @ gap
+        acc = np.zeros_like(across[:, 0])
+        nxt = np.zeros_like(ends)
+        for a in range(1, x.shape[1]):
+            acc = acc * np.float32(DECAY) + across[:, a - 1]
+            nxt[:, a, 1:] = same[:, a, 1:] * acc[:, :-1]
+        ends = nxt
+    return ends.sum((1, 2))
+
+
+def _in_steps(x: np.ndarray, width: int, value) -> np.ndarray:
+    step = max(1, 4_000_000 // (x.shape[1] * width))
+    return np.concatenate([value(x[i : i + step]) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.float32)
 
-    def value(x: np.ndarray) -> np.ndarray:
-        same = (x[:, :, None] == t) * np.float32(DECAY * DECAY)
-        ends = same
-        for _ in range(P - 1):
-            across = ends @ gap
-            acc = np.zeros_like(across[:, 0])
-            nxt = np.zeros_like(ends)
-            for a in range(1, x.shape[1]):
-                acc = acc * np.float32(DECAY) + across[:, a - 1]
-                nxt[:, a, 1:] = same[:, a, 1:] * acc[:, :-1]
-            ends = nxt
-        return ends.sum((1, 2))
 
-    own = float(value(t[None, :])[0])
-    step = max(1, 4_000_000 // (rows.shape[1] * m))
-    return np.minimum(1, np.concatenate([value(rows[i : i + step]) for i in range(0, len(rows), step)]) / own) ** POWER
+def selves(rows: np.ndarray) -> np.ndarray:
+    """Each row's kernel with itself."""
+    return _in_steps(rows, rows.shape[1], lambda x: _common(x, x[:, None, :]))
+
+
+def kernel(rows: np.ndarray, mark: bytes, own: np.ndarray | None = None) -> np.ndarray:
+    """The string kernel of each row and a landmark over the root of both one's own (`own`: those of the rows, if known).
+
+    A cosine in the space of subsequences, to the whole power POWER, which is a positive semi-definite kernel
+    again and tells holding a landmark from holding scattered parts of it.
+    """
+    t = _wide(mark)
+    own = selves(rows) if own is None else own
+    both = _in_steps(rows, len(t), lambda x: _common(x, t))
+    return (both / np.sqrt(np.maximum(own * selves(t[None, :])[0], 1e-18))) ** POWER
 
 
 class Machine:
@@ -175,12 +185,17 @@ class Machine:
             near.append(np.flatnonzero((np.bitwise_count(own & letters) >= n1 - n1 // 5) & (np.bitwise_count(pairs & both) >= n2 - n2 // 3) & (e - s >= len(t) - 2)))
         some = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
         out = np.zeros((len(some), len(self.marks)), np.float32)
-        for j, at in enumerate(near):
-            size = (e - s)[at]
-            for lo, hi in ((0, 12), (12, 24), (24, WIDE)):
-                part = at[(size > lo) & (size <= hi)]
-                if len(part):
-                    out[np.searchsorted(some, part), j] = kernel(matrix(buf, s[part], e[part]), self.marks[j])
+        size = (e - s)[some]
+        for lo, hi in ((0, 12), (12, 24), (24, WIDE)):
+            at = np.flatnonzero((size > lo) & (size <= hi))
+            if not len(at):
+                continue
+            rows = matrix(buf, s[some[at]], e[some[at]])
+            own = selves(rows)
+            for j, words_near in enumerate(near):
+                k = np.flatnonzero(np.isin(some[at], words_near, assume_unique=True))
+                if len(k):
+                    out[at[k], j] = kernel(rows[k], self.marks[j], own[k])
         return some, out
 
     def margins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -335,11 +350,9 @@ def learn(texts: list[str], labels: list[int]) -> Machine:
     weigh = np.concatenate([np.where(positive[some[use]], np.sqrt(toxic[some[use]]), np.sqrt(clean[some[use]])), np.full(len(near), 0.5)])
     k = np.vstack([k[use], k_made]).astype(np.float64)
     # the landmarks' own kernel matrix gives the map into the space that they span
-    gram = np.stack([kernel(_wide(t)[None, :], u) for t in marks for u in marks]).reshape(len(marks), -1)
-    own = np.array([float(kernel(_wide(t)[None, :], t)[0]) for t in marks])
-    gram = (gram + gram.T) / 2 / own.mean()
+    gram = np.stack([kernel(_wide(t)[None, :], u) for t in marks for u in marks]).reshape(len(marks), -1).astype(np.float64)
     value, vector = np.linalg.eigh(gram + 0.05 * np.eye(len(marks)))
-    root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
+    root = vector / np.sqrt(value) @ vector.T
     x = np.hstack([k @ root, np.ones((len(k), 1))])
     weigh = np.where(target > 0, weigh, weigh * (0.01 + k.max(1)) ** 2)  # harmless words count by how near they come
     cost = weigh / np.where(target > 0, weigh[target > 0].sum(), max(1e-9, weigh[target < 0].sum()) / HARSH)

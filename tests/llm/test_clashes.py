@@ -80,3 +80,36 @@ def test_ties_and_very_long_texts(spark, labels):
     for op in (toxicity.classify, quality.classify):
         got = {r["doc_id"]: r["score"] for r in op(rows, labels).collect()}
         assert len(got) == 7 and len({got[i] for i in range(6)}) == 1 and all(0 <= s <= 1 for s in got.values())
+
+
+def test_names_differ_where_one_ring_collides():
+    """Two words of 2,048 letters that every polynomial hash modulo 2^64 takes for equal."""
+    import numpy as np
+
+    from folia.llm import repeats as R
+    from folia.llm import textkit as tk
+
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    buf, offs = tk.from_texts([a.encode(), b.encode()])
+    prefix = tk.prefix_hash(buf)
+    assert len(set(tk.span_hash(prefix, offs[:-1], offs[1:]).tolist())) == 1
+    assert len(set(R._name(buf, prefix, offs[:-1], offs[1:]).tolist())) == 2
+    x = np.frombuffer(b"abcabcabc", np.uint8)
+    h = tk.prime_hash(tk.prime_prefix(x), np.array([0, 3, 1]), np.array([3, 6, 4]))
+    assert h[0] == h[1] != h[2]
+
+
+def test_the_string_kernel_is_valid():
+    """Symmetric, of unit diagonal, and without negative eigenvalues."""
+    import numpy as np
+
+    from folia.llm import toxicity as X
+
+    marks = [b" idiot ", b"idiot", b"moron", b" stupid", b"worthless ", b"dragon", b"oron", b" a ", b"aaaaaaaa"]
+    gram = np.stack([X.kernel(X._wide(t)[None, :], u) for t in marks for u in marks]).reshape(len(marks), -1).astype(float)
+    some = [i for i in range(len(marks)) if gram[i, i] > 0]
+    gram = gram[np.ix_(some, some)]
+    assert np.allclose(gram, gram.T, atol=1e-5) and np.allclose(np.diag(gram), 1, atol=1e-5) and np.linalg.eigvalsh((gram + gram.T) / 2).min() > -1e-6
