@@ -98,7 +98,7 @@ class PrefixBpe:
                 before, b = b + 1, y[0]
             else:
                 break
-        if len(self._pairs) > 800_000:
+        if len(self._pairs) > 300_000:
             self._pairs.clear()
         self._pairs[left << 32 | right] = ok
         return ok
@@ -256,7 +256,7 @@ def encoder(path_key: str, ranks: dict[bytes, int], pattern: str, cache: int) ->
     return _state["made"]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, cache: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, cache: int = 250_000) -> DataFrame:
     """Encodes and decodes the whole text of every document.
 
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
