@@ -28,9 +28,9 @@ def highlight_terms(spark, d):
     return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), F.regexp_replace("text", "(?iu)(the|and)", "[$1]").alias("text"))
 
 
-@query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, length(regexp_replace(text || 'ɱॹ', '[가-힣ㄱ-ㆎ一-鿿 -~·°×‐-⁯⅐-⇿①-➿\\x{3000}-〿㈀-㏿＀-￯]', '', 'g')) AS odd FROM blocks_v"))
+@query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, length(regexp_replace(text || 'ϡܐ', '[가-힣ㄱ-ㆎ一-鿿 -~·°×‐-⁯⅐-⇿①-➿\\x{3000}-〿㈀-㏿＀-￯]', '', 'g')) AS odd FROM blocks_v"))
 def odd_chars(spark, d):
-    return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), T.odd_chars(F.concat("text", F.lit("ɱॹ"))).cast("long").alias("odd"))
+    return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), T.odd_chars(F.concat("text", F.lit("ϡܐ"))).cast("long").alias("odd"))
 
 
 @query(V.with_views(V.DOCS, body="SELECT doc_id, trim(title) AS title FROM docs_v"))
@@ -98,39 +98,6 @@ def reassign_links(spark, d):
     return L.owned(links, n.select("page_id", "s", (F.col("s") * 3).alias("a"), (F.col("s") * 3 + 2).alias("z"))).select("page_id", "i", "s")
 
 
-@query(V.with_views(V.LINKS, L._SECTIONS, L._OWNED, L._ATTACH, body="""
-SELECT page_id, id, (dense_rank() OVER (PARTITION BY page_id ORDER BY o))::INTEGER AS form_no FROM (
-  SELECT page_id, id, min(i) OVER (PARTITION BY page_id, url) AS o FROM attach_v WHERE regexp_matches(url, '(?i)fileDown') UNION ALL SELECT DISTINCT page_id, 'man-0001', 1000000 FROM attach_v)"""))
-def add_forms(spark, d):
-    """One form added by hand to each page's first section; it is numbered behind the automatic ones."""
-    own = L._attached(spark, d).withColumn("manual", F.lit(False))
-    more = own.select("page_id").distinct().select("page_id", F.lit("man-0001").alias("id"), F.lit(0).alias("s"), F.lit("/download").alias("url"), F.lit(0).alias("i"), F.lit("added").alias("text"), F.lit(True).alias("manual"))
-    return L.numbered(own.unionByName(more)).select("page_id", "id", "form_no")
-
-
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, c, CASE WHEN k = 'task' THEN 'section ' || b ELSE t END AS title FROM outline_v"))
-def sync_outline(spark, d):
-    nodes = V.outline_v(spark, d)
-    headings = nodes.where("k = 'task'").select("doc_id", "c", F.concat(F.lit("section "), F.col("b").cast("string")).alias("heading"))
-    return nodes.join(headings, ["doc_id", "c"], "left").select("doc_id", "c", F.coalesce("heading", "t").alias("title"))
-
-
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, 'manual' AS kind, c, t FROM outline_v WHERE doc_id % 2 = 0 AND k <> 'bullet' UNION ALL SELECT doc_id, 'auto', c, t FROM outline_v WHERE doc_id % 2 = 1"))
-def manual_outline_apply(spark, d):
-    """A manual outline, where there is one, in place of the automatic one."""
-    auto = V.outline_v(spark, d)
-    manual = auto.where("doc_id % 2 = 0 AND k <> 'bullet'")
-    rest = auto.join(manual.select("doc_id").distinct(), "doc_id", "left_anti")
-    return manual.select("doc_id", F.lit("manual").alias("kind"), "c", "t").union(rest.select("doc_id", F.lit("auto"), "c", "t"))
-
-
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, c, t FROM outline_v"))
-def manual_outline_revert(spark, d):
-    auto = V.outline_v(spark, d)
-    applied = auto.where("doc_id % 2 = 0").select("doc_id").distinct()
-    return auto.join(applied, "doc_id", "left_semi").unionByName(auto.join(applied, "doc_id", "left_anti")).select("doc_id", "c", "t")
-
-
 @query(V.with_views(V.DOCS, body=f"""
 SELECT sheet, coalesce(by_id, by_title) AS doc_id FROM (
   SELECT s.doc_id AS sheet, CASE WHEN s.doc_id % 3 = 0 THEN s.doc_id END AS by_id, (SELECT min(d.doc_id) FROM docs_v d WHERE {V.sql_norm('d.title')} = {V.sql_norm('s.title')}) AS by_title FROM docs_v s WHERE s.doc_id % 4 = 1)"""))
@@ -143,27 +110,6 @@ def bulk_toc_match(spark, d):
     return sheets.join(ids, F.col("given") == F.col("by_id"), "left").join(titles, "key", "left").select("sheet", F.coalesce("by_id", "by_title").alias("doc_id"))
 
 
-@query(V.with_views(V.SECTIONS, V.LINKS, body="SELECT doc_id, s, text, coalesce(forms, 0) AS forms FROM sections_v LEFT JOIN (SELECT page_id AS doc_id, count(*) AS forms FROM links_v GROUP BY page_id) USING (doc_id)"))
-def section_detail(spark, d):
-    n = V.links_v(spark, d).groupBy(F.col("page_id").alias("doc_id")).agg(F.count("*").alias("forms"))
-    return V.sections_v(spark, d).join(n, "doc_id", "left").select("doc_id", "s", "text", F.coalesce("forms", F.lit(0).cast("long")).alias("forms"))
-
-
-@query(V.with_views(V.LINKS, body="""
-SELECT n.page_id, n.i, coalesce(o.page, -1) AS bundle_page FROM links_v n LEFT JOIN (SELECT page_id, url, max(i) + 100 AS page FROM links_v WHERE i % 4 <> 0 GROUP BY page_id, url) o ON o.page_id = n.page_id AND o.url = n.url"""))
-def carry_forms(spark, d):
-    new = V.links_v(spark, d)
-    old = new.where("i % 4 <> 0").groupBy("page_id", "url").agg((F.max("i") + 100).alias("page"))
-    return new.join(old, ["page_id", "url"], "left").select("page_id", "i", F.coalesce("page", F.lit(-1)).alias("bundle_page"))
-
-
-@query(V.with_views(V.LINKS, body="SELECT page_id, i, CASE WHEN i % 6 = 0 THEN url || '#new' ELSE url END AS url, CASE WHEN i % 6 = 0 THEN url ELSE '' END AS url_orig FROM links_v"))
-def edit_link(spark, d):
-    links = V.links_v(spark, d)
-    edits = links.where("i % 6 = 0").select("page_id", "i", F.concat("url", F.lit("#new")).alias("new"))
-    return links.join(edits, ["page_id", "i"], "left").select("page_id", "i", F.coalesce("new", "url").alias("url"), F.when(F.col("new").isNotNull(), F.col("url")).otherwise("").alias("url_orig"))
-
-
 @query(V.with_views(V.DOCS, body="SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN year + 1 ELSE year END AS year, CASE WHEN doc_id % 5 = 0 THEN replace(year || ' ' || title, year::VARCHAR || ' ', (year + 1)::VARCHAR || ' ') ELSE year || ' ' || title END AS title, department FROM docs_v"))
 def replace_edition(spark, d):
     """Documents with what their new editions say; the id stays, and the title's year follows."""
@@ -197,12 +143,6 @@ def plan_storage(spark, d):
     return first_fit(V.docs_v(spark, d).select("year", "doc_id", F.coalesce("bytes", F.lit(0)).alias("bytes")), 100_000)
 
 
-@query()
-def join_spaced(spark, d):
-    apart = F.array_join(F.split("text", ""), " ")
-    return V.blocks_v(spark, d).select("doc_id", "n", spacing.join_spaced(F.concat(F.lit("공 적 조 서 "), apart)).alias("text"))
-
-
 @query(V.with_views(V.DOCS, I._LEVEL_DOCS, V.SECTIONS, I._REFS, I._POST, body=f"SELECT level, {V.sql_shard('gram')} AS shard, count(*) AS grams, sum(len(refs))::BIGINT AS refs FROM post_v GROUP BY ALL"))
 def write_shards(spark, d):
     """Posting lists written by level and shard, and counted from the files."""
@@ -218,8 +158,3 @@ def write_details(spark, d):
     files = written(V.docs_v(spark, d).select("doc_id", "title", "levels").join(own, "doc_id", "left"), "details", kind="json")
     return files.select("doc_id", "title", F.coalesce(F.size("sections"), F.lit(0)).cast("long").alias("sections"))
 
-
-@query(V.with_views(V.DOCS, body="SELECT doc_id, title, array_to_string(levels, ',') AS levels, year FROM docs_v"))
-def read_documents(spark, d):
-    files = written(V.docs_v(spark, d), "documents", kind="json")
-    return files.select("doc_id", "title", F.array_join("levels", ",").alias("levels"), "year")

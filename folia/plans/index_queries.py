@@ -118,12 +118,6 @@ def index_stats(spark, d):
     return table(spark, d, "documents").groupBy(F.col("lang").alias("level")).agg(F.count("*").alias("files"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("bytes"))
 
 
-@query(V.with_views(V.DOCS, V.SECTIONS, body="SELECT count(*) AS docs, (SELECT count(*) FROM sections_v) AS sections, count(DISTINCT department) AS departments, 128 AS shards FROM docs_v"))
-def write_manifest(spark, d):
-    one = V.docs_v(spark, d).agg(F.count("*").alias("docs"), F.count_distinct("department").alias("departments"))
-    return one.join(V.sections_v(spark, d).agg(F.count("*").alias("sections"))).select("docs", "sections", "departments", F.lit(T.SHARDS).alias("shards"))
-
-
 def _saved(spark, d, now: bool) -> DataFrame:
     docs = table(spark, d, "documents").where(F.col("doc_id") % (11 if now else 13) != 0)
     body = F.concat(F.coalesce("text", F.lit("")), F.when((F.col("doc_id") % 9 == 0) & F.lit(now), "!").otherwise(""))
@@ -159,13 +153,6 @@ def consistency_check(spark, d):
     return twice.union(missing).union(docs.select("doc_id").join(listed, "doc_id", "left_anti").select(F.lit("not listed"), F.col("doc_id").cast("string")))
 
 
-@query(V.with_views(V.DOCS, body="""
-SELECT doc_id, array_to_string(list_filter([CASE WHEN title = '' THEN 'title' END, CASE WHEN len(levels) = 0 THEN 'level' END, CASE WHEN format NOT IN ('pdf', 'hwpx') THEN 'no text' END, CASE WHEN len(keywords) = 0 THEN 'keywords' END, CASE WHEN bytes > 10000 THEN 'large' END], lambda x: x IS NOT NULL), ',') AS errors FROM docs_v"""))
-def validate_documents(spark, d):
-    rules = [(F.col("title") == "", "title"), (F.size("levels") == 0, "level"), (~F.col("format").isin(*T.TEXT_FORMATS), "no text"), (F.size("keywords") == 0, "keywords"), (F.col("bytes") > 10000, "large")]
-    return V.docs_v(spark, d).select("doc_id", F.array_join(F.array_compact(F.array(*(F.when(c, name) for c, name in rules))), ",").alias("errors"))
-
-
 @query(V.with_views(V.DOCS, body=f"SELECT doc_id, (row_number() OVER (ORDER BY created_at DESC, doc_id))::INTEGER AS place FROM docs_v WHERE contains({V.sql_norm('title')}, 'on') AND list_contains(levels, 'en')"))
 def filter_documents(spark, d):
     found = V.docs_v(spark, d).where(F.contains(T.norm(F.col("title")), F.lit("on")) & F.array_contains("levels", "en"))

@@ -122,23 +122,12 @@ def outline_chapters(spark, d):
     return chapters(_chat(spark, d)).select("conv_id", "n", "c")
 
 
-@query(V.with_views(_CHAT, _CHAPTERS, body="SELECT conv_id, count(*) AS tasks, count(DISTINCT split_part(c, '.', 1)) AS chapters FROM chap_v GROUP BY conv_id"))
-def fallback_outline(spark, d):
-    return chapters(_chat(spark, d)).groupBy("conv_id").agg(F.count("*").alias("tasks"), F.count_distinct(F.split_part("c", F.lit("."), F.lit(1))).alias("chapters"))
-
-
 @query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, c, (row_number() OVER (PARTITION BY doc_id ORDER BY list_transform(string_split(c, '.'), lambda x: x::INTEGER), b))::INTEGER AS place FROM outline_v"))
 def sort_outline(spark, d):
     key = F.transform(F.split("c", r"\."), lambda x: x.cast("int"))
     return V.outline_v(spark, d).select("doc_id", "c", F.row_number().over(Window.partitionBy("doc_id").orderBy(key, "b")).alias("place"))
 
 
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, b, c FROM outline_v WHERE k <> 'bullet' AND (k IN ('ch', 'link') OR NOT regexp_matches(t, '[|#$]'))"))
-def clean_outline(spark, d):
-    rows = V.outline_v(spark, d)
-    return rows.where((F.col("k") != "bullet") & (F.col("k").isin("ch", "link") | ~F.col("t").rlike("[|#$]"))).select("doc_id", "b", "c")
-
-
 _KEPT = "kept_v AS (SELECT doc_id, c FROM outline_v WHERE k <> 'bullet' AND NOT (k = 'task' AND b % 3 = 1))"
 
 
@@ -164,12 +153,3 @@ def outline_edits(spark, d):
     return rows.join(edits, ["doc_id", "c"], "left").select("doc_id", "c", F.coalesce("new", "t").alias("title"))
 
 
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, len(string_split(c, '.')) AS depth, t AS title, b + 1 AS page, c AS code FROM outline_v WHERE k <> 'bullet'"))
-def outline_to_rows(spark, d):
-    return V.outline_v(spark, d).where("k <> 'bullet'").select("doc_id", F.size(F.split("c", r"\.")).cast("long").alias("depth"), F.col("t").alias("title"), (F.col("b") + 1).alias("page"), F.col("c").alias("code"))
-
-
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, c, least(b, top) AS b FROM outline_v JOIN (SELECT doc_id, max(n)::INTEGER // 2 AS top FROM blocks_v GROUP BY doc_id) USING (doc_id)"))
-def manual_outline_carry(spark, d):
-    top = V.blocks_v(spark, d).groupBy("doc_id").agg((F.max("n") / 2).cast("int").alias("top"))
-    return V.outline_v(spark, d).join(top, "doc_id").select("doc_id", "c", F.least("b", "top").alias("b"))

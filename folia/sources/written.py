@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str, kind: str = "parquet", by: list[str] | None = None) -> DataFrame:
-    """`df` written once and read by its schema. The folder is spark.checkpoint.dir; where it isn't set, one of our own."""
-    spark = df.sparkSession
+def path_of(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; where that isn't set and the session is local, in a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, kind: str = "parquet", by: list[str] | None = None) -> DataFrame:
+    """`df` written once and read by its schema."""
+    path = path_of(df.sparkSession, name)
     df.write.format(kind).partitionBy(*(by or [])).save(path)
-    return spark.read.schema(df.schema).format(kind).load(path)
+    return df.sparkSession.read.schema(df.schema).format(kind).load(path)
