@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that shuffle files of a finished execution are removed.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); where it isn't set and the session is local, one of our own."""
     sc = spark.sparkContext
@@ -23,11 +27,17 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table written once and read again: its work isn't repeated, and no executor's loss takes it away.
 
-    The table stays until the shared folder is cleared: results are read from it after the operator has returned.
+    Its shuffles' files go when it is written, not only when the driver's garbage collection comes to them. The
+    table stays until the shared folder is cleared: results are read from it after the operator has returned.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
