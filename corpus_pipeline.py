@@ -51,7 +51,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The classifier and the join's pruning have no counterpart in SQL; tests compare each stage's rows with a brute-force version.
+#: The classifier and the join's pruning have no counterpart in SQL; tests hold the stages' operators against brute force.
 ORACLE_SQL = None
 
 
