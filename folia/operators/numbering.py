@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from folia.sources.written import written
 
 
-def number(rows: DataFrame, group: str, order: list[str | Column], out: str) -> DataFrame:
-    """`rows` with `out`: the row's number, from 0, in its group's order.
+def number(rows: DataFrame, group: str, order: list[str | Column], out: str, kind: str = "int") -> DataFrame:
+    """`rows` with `out`: the row's number, from 0, in its group's order, as a `kind` of integer.
 
     Rows are dealt into ranges of (group, order), counted by range, and numbered inside each range from the
     count of those before, so no group has to fit one task. Only the counts, one row for each range and group,
@@ -20,4 +20,4 @@ def number(rows: DataFrame, group: str, order: list[str | Column], out: str) ->
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(group, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
-    return dealt.withColumn("_i", inside).join(offsets, [group, "_range"]).withColumn(out, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_range", "_i", "_before")
+    return dealt.withColumn("_i", inside).join(offsets, [group, "_range"]).withColumn(out, (F.col("_before") + F.col("_i") - 1).cast(kind)).drop("_range", "_i", "_before")
