@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folia.llm import bpe, decontaminate, fingerprints, html_text, jaccard, quality, repeats, secrets, token_counts, toxicity
+from folia.llm import bpe, decontaminate, dsir, fingerprints, html_text, jaccard, katz, merkle, oracles, quality, repeats, secrets, token_counts, toxicity
 from folia.sources.tables import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,18 @@ def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(table(spark, d, "pages"))
 
 
+def op11_katz(spark: SparkSession, d: str) -> DataFrame:
+    return katz.score(table(spark, d, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return dsir.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.manifest(table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +73,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_token_counts, op3_bpe, op4_decontamination, op5_secrets, op6_ngram_jaccard_join, op7_repeats, op8_toxicity, op9_fingerprints, op10_html_text, pipeline)
+    found = (op1_quality, op2_token_counts, op3_bpe, op4_decontamination, op5_secrets, op6_ngram_jaccard_join, op7_repeats, op8_toxicity, op9_fingerprints, op10_html_text, op11_katz, op12_importance_resampling, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -90,4 +102,4 @@ FROM doc LEFT JOIN word USING (r) LEFT JOIN who USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4}
+    return {"op4_decontamination": OP4, "op12_importance_resampling": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
