@@ -41,7 +41,7 @@ from folia.llm.shared import drop, written
 FOLD = (7, 2)
 ORDER, CUTOFF = 2, 5
 #: Bytes of text in a block, and tokens a bucket (on average).
-BLOCK, BUCKET = 16 << 20, 2_000_000
+BLOCK, BUCKET = 8 << 20, 2_000_000
 END, START = 0, -1
 #: Parts of a history at most.
 _PARTS = 1 << 17
@@ -73,17 +73,25 @@ def _from_strings(data: bytes, lengths: np.ndarray) -> pa.Array:
 _BLOCK = "block long, n_learn long, n_tokens long, doc_id array<long>, learn binary, sizes binary, tokens binary, words binary, lengths binary, counts binary"
 
 
+def _hashes(data: bytes, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return tk.span_hash(tk.prefix_hash(np.frombuffer(data, np.uint8)), ends - lengths, ends)
+
+
 def _encode(texts: pa.Array, ids: pa.Array, learn: np.ndarray) -> dict:
-    """A block: token 0 is the end, the others are the places of words, plus 1."""
+    """A block: token 0 is the end, the others are the places of words, plus 1. Words are in the order of hashes, so in that of buckets."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, row = pc.list_flatten(split), pc.list_parent_indices(split)
     real = pc.not_equal(flat, "")
     coded, row = flat.filter(real).dictionary_encode(), row.filter(real).to_numpy()
     sizes = np.bincount(row, minlength=len(texts)) + 1
     tokens = np.zeros(int(sizes.sum()), np.int64)
-    tokens[np.arange(len(row)) + row] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    counts = np.bincount(tokens[np.repeat(learn, sizes)], minlength=len(coded.dictionary) + 1)
-    words, lengths = _strings(coded.dictionary)
+    order = np.argsort(_hashes(*_strings(coded.dictionary)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    tokens[np.arange(len(row)) + row] = place[coded.indices.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(tokens[np.repeat(learn, sizes)], minlength=len(order) + 1)
+    words, lengths = _strings(coded.dictionary.take(pa.array(order)))
     return {
         "n_learn": int(learn.sum()), "n_tokens": len(tokens), "doc_id": ids.to_pylist(), "learn": pack(learn.astype(np.int64)), "sizes": pack(sizes),
         "tokens": pack(tokens), "words": zstandard.ZstdCompressor(1).compress(words), "lengths": pack(lengths), "counts": pack(counts[1:]),
@@ -130,12 +138,6 @@ def _tally(n: np.ndarray) -> list[int]:
     return [len(n), int(n.sum()), *np.bincount(n[n <= CUTOFF + 1], minlength=CUTOFF + 2)[1:].tolist()]
 
 
-def _word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
-    data, lengths = _strings(words)
-    ends = np.cumsum(lengths)
-    return (tk.span_hash(tk.prefix_hash(np.frombuffer(data, np.uint8)), ends - lengths, ends) % np.uint64(buckets)).astype(np.int64)
-
-
 def _parts(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """A stable order by bucket, and (bucket, from, to) of each that occurs."""
     order = np.argsort(bucket, kind="stable")
@@ -147,12 +149,13 @@ def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words = _from_strings(zstandard.ZstdDecompressor().decompress(r["words"]), unpack(r["lengths"]))
-                counts, (order, parts) = unpack(r["counts"]), _parts(_word_buckets(words, buckets))
+                words, lengths, counts = zstandard.ZstdDecompressor().decompress(r["words"]), unpack(r["lengths"]), unpack(r["counts"])
+                bucket = ((_hashes(words, lengths) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                ends = np.append(0, np.cumsum(lengths))
                 rows = []
-                for k, a, b in parts:
-                    data, lengths = _strings(words.take(pa.array(order[a:b])))
-                    rows.append({"bucket": k, "block": r["block"], "body": [zstandard.ZstdCompressor(1).compress(data), pack(lengths), pack(counts[order[a:b]])]})
+                for k, a, b in _parts(bucket)[1]:
+                    body = [zstandard.ZstdCompressor(1).compress(words[ends[a] : ends[b]]), pack(lengths[a:b]), pack(counts[a:b])]
+                    rows.append({"bucket": k, "block": r["block"], "body": body})
                 yield pa.RecordBatch.from_pylist(rows, _ASKED)
 
     return blocks.select("block", "words", "lengths", "counts").mapInArrow(run, _ASK)
@@ -218,18 +221,14 @@ class _Tokens:
         self.sizes, self.n_learn = unpack(block["sizes"]), n_learn
         self.learn = np.repeat(unpack(block["learn"]) > 0, self.sizes)
         self.word = unpack(block["tokens"])
-        self.words = _from_strings(zstandard.ZstdDecompressor().decompress(block["words"]), unpack(block["lengths"]))
         ends = np.cumsum(self.sizes)
         self.first = np.zeros(len(self.word), bool)
         self.first[ends - self.sizes] = True
         self.docs = ends - self.sizes
 
-    def read_words(self, answers: list[dict], buckets: int, tally: list[int]) -> None:
-        order, parts = _parts(_word_buckets(self.words, buckets))
-        body = {a["bucket"]: a["body"] for a in answers}
-        n, number = np.zeros(len(order) + 1, np.int64), np.zeros(len(order) + 1, np.int64)
-        for k, a, b in parts:
-            n[order[a:b] + 1], number[order[a:b] + 1] = unpack(body[k][0]), unpack(body[k][1])
+    def read_words(self, answers: list[dict], tally: list[int]) -> None:
+        body = [a["body"] for a in sorted(answers, key=lambda a: a["bucket"])]
+        n, number = (np.concatenate([[END], *(unpack(b[i]) for b in body)]).astype(np.int64) for i in range(2))
         n[END] = self.n_learn
         self.wid = number
         self.place, self.number, self.n = self.word, number, n
@@ -263,11 +262,13 @@ class _Tokens:
         self.owner, self.salt, self.gram_w, self.gram_h, self.at = owner, salt, w, h, at
         self.history = number
 
-    def ask(self, block: int) -> Iterator[dict]:
+    def ask(self, block: int, order: int) -> Iterator[dict]:
+        """Histories and their parts, and the n-grams of each: words, counts, and what stands for their shorter ones' probabilities."""
+        low = self.known if order == 2 else self.p  # a word's count says its probability in fewer bytes
         n = np.bincount(self.place[self.learn], minlength=len(self.gram_w))
         for k, a, b in self.parts:
             e, g = self.entries[a:b], self.grams[self.edges[a] : self.edges[b]]
-            body = [self.history[self.owner[e]], self.salt[e], np.diff(self.edges[a : b + 1]), self.gram_w[g], n[g], self.p[self.at[g]]]
+            body = [self.history[self.owner[e]], self.salt[e], np.diff(self.edges[a : b + 1]), self.gram_w[g], n[g], low[self.at[g]]]
             yield {"bucket": k, "block": block, "body": [pack(x) for x in body]}
 
     def read(self, answers: list[dict], tally: list[int]) -> None:
@@ -284,22 +285,23 @@ class _Tokens:
         alpha, divisor = backoff(total, low, times, d)
         p = np.where(n > 0, _discounted(n, d) / divisor[self.gram_h], alpha[self.gram_h] * self.p[self.at])
         self.p, self.n, self.number = p[self.place], n, number
+        del self.entries, self.parts, self.grams, self.edges, self.owner, self.salt, self.gram_w, self.gram_h, self.at, self.history
 
 
 def _replay(block: dict, answers: list[dict], buckets: int, heavy: int, n_learn: int, tallies: list[list[int]]) -> _Tokens:
     """A block's tokens after all orders answered so far."""
     t = _Tokens(block, n_learn)
-    t.read_words([a for a in answers if a["order"] == 1], buckets, tallies[0])
+    t.read_words([a for a in answers if a["order"] == 1], tallies[0])
     for m, tally in enumerate(tallies[1:], 2):
         t.histories(buckets, heavy)
         t.read([a for a in answers if a["order"] == m], tally)
     return t
 
 
-def _answer_grams(asked: DataFrame, order: int, buckets: int, last: bool) -> DataFrame:
+def _answer_grams(asked: DataFrame, order: int, buckets: int, last: bool, words: list[int]) -> DataFrame:
     def run(part: pa.Table) -> pa.Table:
         rows = part.to_pylist()
-        bodies = [[unpack(x) for x in r["body"][:5]] + [unpack(r["body"][5], np.float64)] for r in rows]
+        bodies = [[*map(unpack, r["body"][:5]), unpack(r["body"][5], np.int64 if order == 2 else np.float64)] for r in rows]
         history, salt, size, word, count, low = (np.concatenate(x) for x in zip(*bodies))
         entry, at = np.unique((history + 1) * _PARTS + salt, return_inverse=True)
         key, first, gram = np.unique(np.repeat(at, size) << 40 | word, return_index=True, return_inverse=True)
@@ -307,7 +309,8 @@ def _answer_grams(asked: DataFrame, order: int, buckets: int, last: bool) -> Dat
         seen = n > 0
         e, m = (key >> 40)[seen], n[seen]
         total = np.bincount(e, weights=m, minlength=len(entry)).astype(np.int64)
-        lows = np.bincount(e, weights=low[first][seen], minlength=len(entry))
+        low = low[first][seen]
+        lows = np.bincount(e, weights=singles(low, words[1], words[2:]) if order == 2 else low, minlength=len(entry))
         rare = m <= CUTOFF
         times = np.bincount(e[rare] * CUTOFF + m[rare] - 1, minlength=len(entry) * CUTOFF).reshape(-1, CUTOFF)
         k, out, a, g = rows[0]["bucket"], [], 0, 0
@@ -351,6 +354,8 @@ def score(docs: DataFrame, order: int = ORDER, fold: tuple[int, int] = FOLD, blo
     words[2:] = [t + (n_learn == r) for r, t in enumerate(words[2:], 1)]
     tallies = [words]
 
+    tokens = blocks.select("block", "doc_id", "learn", "sizes", "tokens")
+
     def joined() -> DataFrame:
         got = answers[0]
         for a in answers[1:]:
@@ -364,10 +369,10 @@ def score(docs: DataFrame, order: int = ORDER, fold: tuple[int, int] = FOLD, blo
             b = own.to_pylist()[0]
             t = _replay(b, got.to_pylist(), buckets, heavy, n_learn, known)
             t.histories(buckets, heavy)
-            return pa.Table.from_pylist(list(t.ask(b["block"])), _ASKED)
+            return pa.Table.from_pylist(list(t.ask(b["block"], m)), _ASKED)
 
-        asked = blocks.groupBy("block").cogroup(joined().groupBy("block")).applyInArrow(ask, _ASK)
-        answers.append(written(_answer_grams(asked, m, buckets, m == order), f"katz-{m}"))
+        asked = tokens.groupBy("block").cogroup(joined().groupBy("block")).applyInArrow(ask, _ASK)
+        answers.append(written(_answer_grams(asked, m, buckets, m == order, words), f"katz-{m}"))
         tallies.append(_sum(answers[-1]))
 
     def evaluate(own: pa.Table, got: pa.Table) -> pa.Table:
@@ -381,6 +386,6 @@ def score(docs: DataFrame, order: int = ORDER, fold: tuple[int, int] = FOLD, blo
         return pa.Table.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = written(blocks.groupBy("block").cogroup(joined().groupBy("block")).applyInArrow(evaluate, schema), "katz-scores")
+    scored = written(tokens.groupBy("block").cogroup(joined().groupBy("block")).applyInArrow(evaluate, schema), "katz-scores")
     drop(blocks)
     return scored
