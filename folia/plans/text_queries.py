@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import text as T
+from folia.operators import edges as E
 from folia.plans import views as V
 from folia.registry import query
 from folia.sources.tables import table
@@ -239,39 +240,14 @@ def section_lead(spark, d):
     return text.select("doc_id", "s", F.when(F.length("x") > 90, F.concat(F.left("x", F.lit(90)), F.lit("…"))).otherwise(F.col("x")).alias("lead"))
 
 
-def edge_keys(book: DataFrame) -> DataFrame:
-    """(book, page, key): comparison keys, without digits, of each page's first two and last two lines."""
-    edges = F.concat(F.slice("lines", 1, 2), F.when(F.size("lines") > 2, F.slice("lines", F.greatest(F.lit(3), F.size("lines") - 1), F.lit(2))).otherwise(F.array().cast("array<string>")))
-    keys = book.select("book", "page", F.explode(edges).alias("line")).select("book", "page", T.norm(F.regexp_replace("line", r"\d+", "")).alias("key"))
-    return keys.where("key <> ''").distinct()
-
-
-@query(V.with_views(V.BOOK, body=f"""
-SELECT book, key, count(*) AS pages FROM (
-  SELECT DISTINCT book, page, {V.sql_norm("regexp_replace(line, '[0-9]+', '', 'g')")} AS key FROM (SELECT book, page, unnest(lines[1:2] || CASE WHEN len(lines) > 2 THEN lines[greatest(3, len(lines) - 1):] ELSE [] END) AS line FROM book_v)) k
-JOIN (SELECT book, count(*) AS total FROM book_v GROUP BY book) USING (book) WHERE key <> '' GROUP BY book, key, total HAVING count(*) >= greatest(3, ceil(total * 0.15))"""))
-def repeated_edges(spark, d):
-    book = V.book_v(spark, d)
-    total = book.groupBy("book").agg(F.count("*").alias("total"))
-    n = edge_keys(book).groupBy("book", "key").agg(F.count("*").alias("pages"))
-    return n.join(total, "book").where(F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("total") * 0.15))).select("book", "key", "pages")
-
-
 _PRINTED = "CASE WHEN page % 5 = 0 THEN NULL WHEN page % 7 = 0 THEN page - 3 ELSE page - 4 END"
 _VOTE = f"vote_v AS (SELECT book, diff, n FROM (SELECT book, diff, count(*) AS n, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(page)) AS r FROM (SELECT book, page, page - ({_PRINTED}) AS diff FROM book_v) WHERE diff IS NOT NULL GROUP BY book, diff) WHERE r = 1)"
 
 
-def offset_votes(pages: DataFrame) -> DataFrame:
-    """(book, diff, n): the most frequent difference of page and printed page; of equally frequent ones that seen first."""
-    votes = pages.where("printed is not null").groupBy("book", (F.col("page") - F.col("printed")).alias("diff")).agg(F.count("*").alias("n"), F.min("page").alias("first"))
-    best = votes.groupBy("book").agg(F.max_by(F.struct("diff", "n"), F.struct("n", -F.col("first"))).alias("v"))
-    return best.select("book", "v.diff", "v.n")
-
-
 @query(V.with_views(V.BOOK, _VOTE, body=f"SELECT book, page, CASE WHEN n >= 3 AND page - ({_PRINTED}) <> diff THEN -1 ELSE coalesce({_PRINTED}, -1) END AS printed FROM book_v JOIN vote_v USING (book)"))
 def page_offset_vote(spark, d):
     pages = V.book_v(spark, d).select("book", "page", V.printed(F.col("page")).alias("printed"))
-    joined = pages.join(offset_votes(pages), "book")
+    joined = pages.join(E.offset_votes(pages), "book")
     return joined.select("book", "page", F.when((F.col("n") >= 3) & (F.col("page") - F.col("printed") != F.col("diff")), -1).otherwise(F.coalesce("printed", F.lit(-1))).alias("printed"))
 
 
@@ -284,4 +260,4 @@ def block_for_printed(spark, d):
     want = pages.groupBy("book").agg(F.max("page").alias("top")).select("book", "top", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("printed"))
     exact = pages.where("printed is not null").groupBy("book", "printed").agg(F.min("page").alias("page"))
     at = F.col("printed") + F.col("diff")
-    return want.join(offset_votes(pages), "book").join(exact, ["book", "printed"], "left").select("book", "printed", F.coalesce("page", F.when(at.between(1, F.col("top")), at), F.lit(-1)).alias("page"))
+    return want.join(E.offset_votes(pages), "book").join(exact, ["book", "printed"], "left").select("book", "printed", F.coalesce("page", F.when(at.between(1, F.col("top")), at), F.lit(-1)).alias("page"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from folia.functions import text as T
+from folia.operators.numbering import number
 from folia.sources.tables import table
 
 LIMIT = 300
@@ -98,11 +99,14 @@ def links_v(spark: SparkSession, d: str) -> DataFrame:
 
 def book_v(spark: SparkSession, d: str) -> DataFrame:
     """(book, page, lines): one book for each source, its documents as pages by doc_id."""
-    from pyspark.sql import Window
+    docs = table(spark, d, "documents").select(F.col("source").alias("book"), "doc_id", lines_of("text").alias("lines"))
+    place = number(docs.select("book", "doc_id"), "book", ["doc_id"], "page").select("doc_id", (F.col("page") + 1).alias("page"))
+    return docs.join(place, "doc_id").select("book", "page", "lines")
 
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "text"))
-    return table(spark, d, "documents").select(F.col("source").alias("book"), rank.cast("int").alias("page"), lines.alias("lines"))
+
+def lines_of(text: str):
+    """Trimmed lines that aren't empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def printed(page):
