@@ -416,7 +416,7 @@ def _chunks(spark, d) -> DataFrame:
 
 
 _CHUNKS = """turn_v AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text <> '' GROUP BY conv_id, turn), step_v AS (SELECT *, (300 - CASE WHEN turn % 5 = 0 THEN 0 ELSE 30 + conv_id % 40 END)::INTEGER AS step FROM turn_v),
-part_v AS (SELECT conv_id AS doc_id, (turn * 2 + 1)::INTEGER AS location, i AS part, substr(text, i * step + 1, 300) AS text FROM (SELECT *, unnest(range(0, (length(text) - 1) // step + 1)) AS i FROM step_v)),
+part_v AS (SELECT conv_id AS doc_id, (turn * 2 + 1)::INTEGER AS location, i AS part, trim(regexp_replace(regexp_replace(substr(text, i * step + 1, 300), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10)) AS text FROM (SELECT *, unnest(range(0, (length(text) - 1) // step + 1)) AS i FROM step_v)),
 join_v AS (SELECT doc_id, location, part, text FROM part_v WHERE part = 0 UNION ALL
   SELECT j.doc_id, j.location, p.part, j.text || CASE WHEN o = 0 AND j.text <> '' THEN chr(10) ELSE '' END || substr(p.text, o + 1) FROM (
     SELECT j.*, coalesce(list_max(list_filter(range(20, least(length(j.text), length(p.text), 600) + 1), lambda k: right(j.text, k) = left(p.text, k))), 0) AS o FROM join_v j JOIN part_v p ON p.doc_id = j.doc_id AND p.location = j.location AND p.part = j.part + 1) j

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import spacing
 from folia.functions import text as T
+from folia.operators import storage as R
 from folia.plans import index_queries as I
 from folia.plans import link_queries as L
 from folia.plans import views as V
@@ -118,29 +116,28 @@ def replace_edition(spark, d):
     return docs.join(new, "doc_id", "left").select("doc_id", F.coalesce("new_year", "year").alias("year"), T.renew_title(F.col("title"), F.col("year"), F.coalesce("new_year", "year")).alias("title"), F.coalesce("new_department", "department").alias("department"))
 
 
-def first_fit(files: DataFrame, limit: int) -> DataFrame:
-    """(year, doc_id, bin): each year's files in order, each to the first bin with room. State per year: one number a bin."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        year, used = None, []
-        for p in parts:
-            got = []
-            for y, size in zip(p["year"].tolist(), p["bytes"].tolist()):
-                if y != year:
-                    year, used = y, []
-                at = next((k for k, u in enumerate(used) if u + size <= limit), len(used))
-                if at == len(used):
-                    used.append(0)
-                used[at] += size
-                got.append(at + 1)
-            yield pd.DataFrame({"year": p["year"], "doc_id": p["doc_id"], "bin": got})
-
-    return files.repartition("year").sortWithinPartitions("year", "doc_id").mapInPandas(run, "year int, doc_id long, bin int")
+_YEAR, _ROOM = 2026, 20_000
+_STORED = f"""file_v AS (SELECT department AS site, doc_id, bytes, format, doc_id % 4 <> 3 AS wanted, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN doc_id % 3 + 1 END AS lies FROM docs_v),
+taken_v AS (SELECT site, n, sum(bytes)::BIGINT AS bytes FROM (SELECT site, doc_id % 2 + 1 AS n, bytes FROM file_v WHERE NOT wanted UNION ALL SELECT site, 2, bytes // 4 FROM file_v WHERE doc_id % 6 = 1) GROUP BY site, n),
+turn_v AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY doc_id) AS r FROM file_v WHERE wanted),
+fit_v AS (
+  SELECT site, 0::BIGINT AS r, list_transform(range(1, 52), lambda i: coalesce(list_sum(list_transform(list_filter(t, lambda x: x.n = i), lambda x: x.bytes)), 0)::BIGINT) AS used, 0::BIGINT AS n, 0::BIGINT AS doc_id
+  FROM (SELECT site, coalesce(list({{'n': n, 'bytes': bytes}}) FILTER (n IS NOT NULL), []) AS t FROM (SELECT DISTINCT site FROM turn_v) LEFT JOIN taken_v USING (site) GROUP BY site)
+  UNION ALL SELECT site, r, list_transform(range(1, 52), lambda i: used[i] + CASE WHEN i = n THEN bytes ELSE 0 END), n, doc_id FROM (
+    SELECT t.site, t.r, used, t.doc_id, t.bytes, CASE WHEN used[lies] + t.bytes <= {_ROOM} THEN lies ELSE coalesce(list_position(list_transform(used[1:50], lambda u: u + t.bytes <= {_ROOM}), true), 51) END AS n
+    FROM fit_v f JOIN turn_v t ON t.site = f.site AND t.r = f.r + 1))"""
 
 
-@query()
+@query(V.with_views(V.DOCS, _STORED, body=f"SELECT site, f.doc_id, 'store_{_YEAR}_' || n AS store, 'files/' || f.doc_id || '.' || format AS path FROM fit_v f JOIN file_v USING (site, doc_id) WHERE r > 0"))
 def plan_storage(spark, d):
-    return first_fit(V.docs_v(spark, d).select("year", "doc_id", F.coalesce("bytes", F.lit(0)).alias("bytes")), 100_000)
+    """Three of four files of each department are published; some lie in stores of this year or the last, others and editable ones take room."""
+    i = F.col("doc_id")
+    files = V.docs_v(spark, d).select(F.col("department").alias("site"), "doc_id", i.alias("place"), "bytes", "format")
+    name = lambda year, n: F.concat(F.lit("store_"), (year).cast("string"), F.lit("_"), n.cast("string"))
+    wanted = files.where(i % 4 != 3).withColumn("store", F.when(i % 5 == 0, name(_YEAR - i % 2, i % 3 + 1)))
+    used = files.where(i % 4 == 3).select("site", name(F.lit(_YEAR), i % 2 + 1).alias("store"), "bytes")
+    edits = files.where(i % 6 == 1).select("site", name(F.lit(_YEAR), F.lit(2)).alias("store"), F.floor(F.col("bytes") / 4).alias("bytes"))
+    return R.plan_storage(wanted, used.unionByName(edits), _YEAR, _ROOM)
 
 
 @query(V.with_views(V.DOCS, I._LEVEL_DOCS, V.SECTIONS, I._REFS, I._POST, body=f"SELECT level, {V.sql_shard('gram')} AS shard, count(*) AS grams, sum(len(refs))::BIGINT AS refs FROM post_v GROUP BY ALL"))
