@@ -140,12 +140,11 @@ def plan_storage(spark, d):
     return R.plan_storage(wanted, used.unionByName(edits), _YEAR, _ROOM)
 
 
-@query(V.with_views(V.DOCS, I._LEVEL_DOCS, V.SECTIONS, I._REFS, I._POST, body=f"SELECT level, {V.sql_shard('gram')} AS shard, count(*) AS grams, sum(len(refs))::BIGINT AS refs FROM post_v GROUP BY ALL"))
+@query(V.with_views(V.DOCS, I._LEVEL_DOCS, V.SECTIONS, I._REFS, I._POST, body=f"SELECT level, {V.sql_shard('gram')} AS shard, count(DISTINCT gram) AS grams, sum(len(refs))::BIGINT AS refs FROM post_v GROUP BY ALL"))
 def write_shards(spark, d):
     """Posting lists written by level and shard, and counted from the files."""
-    own = I.postings(I.refs(V.docs_v(spark, d), V.sections_v(spark, d))).withColumn("shard", T.gram_shard(F.col("gram"))).withColumn("code", T.encode_postings(F.col("refs")))
-    files = written(own.select("level", "shard", "gram", "code").repartition("level", "shard"), "shards", by=["level", "shard"])
-    return files.groupBy("level", "shard").agg(F.count("*").alias("grams"), F.sum(F.size(F.split("code", ","))).cast("long").alias("refs"))
+    files = I.index(spark, d)[0]
+    return files.groupBy("level", "shard").agg(F.count_distinct("gram").alias("grams"), F.sum(F.size(F.split("code", ","))).cast("long").alias("refs"))
 
 
 @query(V.with_views(V.DOCS, V.SECTIONS, body="SELECT doc_id, title, count(s) AS sections FROM docs_v LEFT JOIN sections_v USING (doc_id) GROUP BY doc_id, title"))

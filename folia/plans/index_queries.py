@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from folia.functions import text as T
 from folia.operators.numbering import number
+from folia.operators.shards import PART, postings, write_index
 from folia.plans import views as V
 from folia.registry import query
 from folia.sources.tables import table
+from folia.sources.written import once, written
 
 _LEVEL_DOCS = """level_v AS (
   SELECT level, doc_id, title, department, year, (row_number() OVER (PARTITION BY level ORDER BY year DESC, title, doc_id) - 1)::INTEGER AS n
@@ -55,29 +57,24 @@ def refs(docs: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.withColumn("ref", F.coalesce("_more", "n").cast("long") * SECTIONS + F.col("s") % SECTIONS).drop("_more")
 
 
-def postings(sections: DataFrame) -> DataFrame:
-    """(level, gram, refs): the sorted references of the sections that hold each pair of characters.
-
-    Grams are made distinct within their row before the shuffle, and lists are first gathered by blocks of
-    references, so that a frequent gram's list is built in parts.
-    """
-    grams = sections.select("level", "ref", F.explode(T.bigrams(T.norm(F.col("text")))).alias("gram")).where(F.length("gram") == 2)
-    parts = grams.groupBy("level", "gram", F.floor(F.col("ref") / (SECTIONS * 1000)).alias("part")).agg(F.array_sort(F.collect_set("ref")).alias("refs"))
-    return parts.groupBy("level", "gram").agg(F.sort_array(F.collect_list(F.struct("part", "refs"))).alias("p")).select("level", "gram", F.flatten("p.refs").alias("refs"))
+_REFS = f"ref_v AS (SELECT s.*, l.level, l.n::BIGINT * {SECTIONS} + s.s AS ref FROM sections_v s JOIN level_v l USING (doc_id))"
+_POST = f"post_v AS (SELECT level, gram, ref // {PART} AS part, list_sort(list(ref)) AS refs FROM (SELECT level, ref, unnest({V.sql_grams(V.sql_norm('text'))}) AS gram FROM ref_v) WHERE length(gram) = 2 GROUP BY level, gram, ref // {PART})"
 
 
-_REFS = f"ref_v AS (SELECT s.*, l.level, l.n::BIGINT * {SECTIONS} + s.s AS ref FROM sections_v s JOIN level_v l USING (doc_id))"
-_POST = f"post_v AS (SELECT level, gram, list_sort(list(ref)) AS refs FROM (SELECT level, ref, unnest({V.sql_grams(V.sql_norm('text'))}) AS gram FROM ref_v) WHERE length(gram) = 2 GROUP BY level, gram)"
+def index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(posting lists, (level, ref, doc_id, s)) as written once a session, for all searches."""
+    own = lambda: refs(V.docs_v(spark, d), V.sections_v(spark, d))
+    return once(spark, d, "documents", "lists", lambda: write_index(postings(own()))), once(spark, d, "documents", "refs", lambda: written(own().select("level", "ref", "doc_id", "s"), "refs"))
 
 
-@query(V.with_views(V.DOCS, _LEVEL_DOCS, V.SECTIONS, _REFS, _POST, body="SELECT level, gram, array_to_string(refs, ',') AS refs FROM post_v"))
+@query(V.with_views(V.DOCS, _LEVEL_DOCS, V.SECTIONS, _REFS, _POST, body="SELECT level, gram, part, array_to_string(refs, ',') AS refs FROM post_v"))
 def body_postings(spark, d):
-    return postings(refs(V.docs_v(spark, d), V.sections_v(spark, d))).select("level", "gram", F.array_join("refs", ",").alias("refs"))
+    return postings(refs(V.docs_v(spark, d), V.sections_v(spark, d))).select("level", "gram", "part", F.array_join("refs", ",").alias("refs"))
 
 
-@query(V.with_views(V.DOCS, _LEVEL_DOCS, V.SECTIONS, _REFS, _POST, body=f"SELECT level, gram, {V.sql_shard('gram')} AS shard, array_to_string(list_transform(list_zip(refs, [0::BIGINT] || refs[1:len(refs) - 1]), lambda p: lower(to_base(p[1] - p[2], 36))), ',') AS code FROM post_v"))
+@query(V.with_views(V.DOCS, _LEVEL_DOCS, V.SECTIONS, _REFS, _POST, body=f"SELECT level, gram, part, {V.sql_shard('gram')} AS shard, array_to_string(list_transform(list_zip(refs, [0::BIGINT] || refs[1:len(refs) - 1]), lambda p: lower(to_base(p[1] - p[2], 36))), ',') AS code FROM post_v"))
 def search_shards(spark, d):
-    return postings(refs(V.docs_v(spark, d), V.sections_v(spark, d))).select("level", "gram", T.gram_shard(F.col("gram")).alias("shard"), T.encode_postings(F.col("refs")).alias("code"))
+    return postings(refs(V.docs_v(spark, d), V.sections_v(spark, d))).select("level", "gram", "part", T.gram_shard(F.col("gram")).alias("shard"), T.encode_postings(F.col("refs")).alias("code"))
 
 
 @query(V.with_views(V.DOCS, _LEVEL_DOCS, V.SECTIONS, _REFS, body="SELECT level, ref, heading, array_to_string(range(block_start + 1, block_end + 2), ',') AS pages FROM ref_v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,25 @@ def written(df: DataFrame, name: str, kind: str = "parquet", by: list[str] | Non
     path = path_of(df.sparkSession, name)
     df.write.format(kind).partitionBy(*(by or [])).save(path)
     return df.sparkSession.read.schema(df.schema).format(kind).load(path)
+
+
+_made: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, folder: str, name: str, kind: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` has written of the table `name` of a folder: by this session, from the table as it is now, and still there; else written anew."""
+    files = spark._jvm.org.apache.hadoop.fs
+
+    def status(path: str):
+        own = files.Path(path)
+        return own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own)
+
+    key = (spark.sparkContext.applicationId, folder, name, kind, status(f"{folder}/{name}.parquet").getModificationTime())
+    if key in _made:
+        try:
+            status(_made[key].inputFiles()[0])
+            return _made[key]
+        except Exception:  # noqa: BLE001  the shared folder has been cleared
+            del _made[key]
+    _made[key] = build()
+    return _made[key]

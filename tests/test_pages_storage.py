@@ -154,3 +154,46 @@ def test_hosts_and_folders_in_decomposed_letters(spark):
     meta = C.guess_meta(spark.createDataFrame([(down("초등/계획.pdf"),)], "path string"), [], [], []).first()
     assert meta["levels"] == ["초등"]
     assert spark.range(1).select(T.link_type(F.lit("보고 PPT"), F.lit("http://a/fileDown.do"))).first()[0] == "서식"
+
+
+def test_search_reads_parts_of_lists_by_shard(spark, monkeypatch):
+    from folia.operators import search as S
+    from folia.operators import shards as H
+
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcd"), 4)) for _ in range(25)]
+    texts = [(lev, i * 7, " ".join(r.choice(words, 12))) for lev in ("en", "fr") for i in range(40)] + [("en", 999, ""), ("fr", 5, "x")]
+    sections = spark.createDataFrame(texts, "level string, ref long, text string")
+    queries = S.parse(spark.createDataFrame([(i, w) for i, w in enumerate([*words[:6], f"{words[0]} {words[1]}", "zz", "a", ""])], "q long, raw string"))
+    want = {(q, lev, ref) for q, raw in ((x["q"], x["terms"]) for x in queries.collect()) for lev, ref, t in texts if (g := {p for w in raw if len(w) > 1 for p in map("".join, zip(w, w[1:]))}) and g <= set(map("".join, zip(t.replace(" ", ""), t.replace(" ", "")[1:])))}
+    for part in (10, 100_000):
+        monkeypatch.setattr(H, "PART", part)
+        index = H.write_index(H.postings(sections))
+        assert {tuple(x) for x in H.candidates(queries, index).collect()} == want and want
+        assert index.groupBy("level", "gram").count().agg(F.max("count")).first()[0] == (28 if part == 10 else 1)
+    plan = index.where(F.col("shard").isin([1, 2]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "shard" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_whole_documents(spark):
+    from folia.operators import documents as D
+    from folia.plans.views import cut_by_length
+
+    none = None
+    docs = [("a", none, "2026_학교+계획.pdf", ["초등"], none, none, "2026", none, D.COMMON_SITE, "가, 나\n가"), ("b", " 표 ", "x.xlsx", [], none, " 감사관 ", none, none, none, none), ("c", none, "", [], none, none, none, "hwpx", none, none), ("d", "빈 자료", "d.pdf", [], none, none, none, none, none, none)]
+    docs = spark.createDataFrame(docs, "doc_id string, title string, filename string, levels array<string>, category string, department string, year string, format string, site string, keywords string")
+    long = "본문의 내용이 충분히 길게 이어지는 글입니다 그리고 더"
+    apart = " ".join("연수계획서안내" * 6)
+    blocks = [("a", 0, "표지 안내의 글이 길게 있는 쪽입니다", 1, none), ("a", 1, f"1. 첫째 업무\n{long}", 2, 5), ("a", 2, f"2. 둘째 업무\n{long}", 3, 6), ("b", 0, "칸", 1, none), ("c", 0, apart, none, none)]
+    blocks = spark.createDataFrame([(d, n, t, p, q, "", none) for d, n, t, p, q in blocks], "doc_id string, n int, text string, pdf_page int, printed_page int, footer_label string, lines array<struct<text:string,size:double>>")
+    links = [("a", 0, 1, "http://x/fileDown.do?1", "서식"), ("a", 1, 1, "http://x/fileDown.do?1", "긴 서식"), ("a", 2, 2, "http://x/fileDown.do?1", "「서식"), ("a", 3, 2, "http://law.go.kr", ""), ("a", 4, 2, "http://x/download?2", "참고"), ("b", 0, 0, "http://x", "y")]
+    links = spark.createDataFrame([(*x, 1.0, 2.0) for x in links], "doc_id string, i int, block int, url string, text string, left double, top double")
+    got = {r["doc_id"]: r for r in D.create(docs, blocks, links, lambda b: cut_by_length(b, 1800)).collect()}
+    a, b, c, d = (got[k] for k in "abcd")
+    assert (a["title"], a["department"], a["year"], a["format"], a["kind"], a["keywords"]) == ("2026 학교 계획", D.COMMON_DEPARTMENT, 2026, "pdf", "text", ["가", "나"])
+    assert [(s["id"], s["heading"], s["block_start"], s["block_end"], s["pdf_pages"], s["printed_pages"], s["untitled"]) for s in a["sections"]] == [("sec-001", "2026 학교 계획 (앞부분)", 0, 0, [1], [], False), ("sec-002", "첫째 업무", 1, 1, [2], [5], False), ("sec-003", "둘째 업무", 2, 2, [3], [6], False)]
+    assert [(k["id"], k["s"], k["text"], k["type"], k["form_no"]) for k in a["links"]] == [("lnk-0001", 2, "긴 서식", "서식", 1), ("lnk-0002", 3, "서식", "서식", 1), ("lnk-0003", 3, "http://law.go.kr", "법령", None), ("lnk-0004", 3, "참고", "참고", 2)]
+    assert [n["k"] for n in a["nodes"]].count("task") == 3 and a["warnings"] == [] and not a["toc_found"]
+    assert (b["title"], b["department"], b["kind"], b["sections"], b["links"], b["warnings"], len(b["blocks"])) == ("표", "감사관", "link", [], [], [], 1)
+    assert c["title"] == D.NO_TITLE and c["warnings"] == ["no contents", "spaced"] and c["blocks"][0]["text"] == "연수계획서안내" * 6 and c["sections"][0]["untitled"]
+    assert d["warnings"] == ["scan"] and d["blocks"] == []
