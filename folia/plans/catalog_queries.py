@@ -133,12 +133,15 @@ _RULES = """rule_v AS (SELECT doc_id, title, format, n, nl, (SELECT count(*) FRO
   LEFT JOIN (SELECT doc_id, count(*) AS n FROM sections_v GROUP BY doc_id) s USING (doc_id) LEFT JOIN (SELECT page_id AS doc_id, count(*) AS nl FROM links_v GROUP BY page_id) k USING (doc_id))"""
 
 
-@query(V.with_views(V.DOCS, V.SECTIONS, V.LINKS, _RULES, body="""
+VALIDATED = V.with_views(V.DOCS, V.SECTIONS, V.LINKS, _RULES, body="""
 SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 11 = 0 THEN 'id' END, CASE WHEN title = '' OR doc_id % 13 = 0 THEN 'title' END, CASE WHEN doc_id % 17 = 0 THEN 'level' END, CASE WHEN doc_id % 19 = 0 AND doc_id % 17 <> 0 THEN 'common level' END,
     CASE WHEN doc_id % 23 = 0 THEN 'works url' END, CASE WHEN doc_id % 29 = 0 AND doc_id % 3 <> 0 AND format = 'pdf' THEN 'pdf path' END, CASE WHEN doc_id % 31 = 0 THEN 'original path' END, CASE WHEN doc_id % 37 = 0 THEN 'original store' END, CASE WHEN doc_id % 41 = 0 THEN 'edit path' END,
     CASE WHEN n > 0 AND doc_id % 43 = 0 THEN 'section name' END, CASE WHEN n > 0 AND doc_id % 47 = 0 THEN 'section range' END, CASE WHEN n > 1 AND doc_id % 53 = 0 THEN 'section id' END, CASE WHEN doc_id % 59 = 0 THEN 'bundle url' END], lambda x: x IS NOT NULL), ',') AS errors,
   array_to_string(list_filter([CASE WHEN doc_id % 19 = 0 AND doc_id % 17 <> 0 AND doc_id % 2 = 0 THEN 'department' END, CASE WHEN format = 'pdf' AND doc_id % 3 = 0 THEN 'no pdf' END, CASE WHEN doc_id % 23 <> 0 AND NOT (format = 'pdf' AND doc_id % 3 <> 0) AND doc_id % 5 = 0 AND doc_id % 31 <> 0 THEN 'no source' END,
-    CASE WHEN format = 'pdf' AND doc_id % 7 = 0 THEN 'no outline' END, CASE WHEN nl > 0 AND doc_id % 6 = 0 THEN 'cut urls' END, CASE WHEN no_web > 0 THEN 'not of the web' END, CASE WHEN format IN ('pdf', 'hwpx') AND n IS NULL THEN 'no sections' END], lambda x: x IS NOT NULL), ',') AS warnings FROM rule_v"""))
+    CASE WHEN format = 'pdf' AND doc_id % 7 = 0 THEN 'no outline' END, CASE WHEN nl > 0 AND doc_id % 6 = 0 THEN 'cut urls' END, CASE WHEN no_web > 0 THEN 'not of the web' END, CASE WHEN format IN ('pdf', 'hwpx') AND n IS NULL THEN 'no sections' END], lambda x: x IS NOT NULL), ',') AS warnings FROM rule_v""")
+
+
+@query(VALIDATED)
 def validate_documents(spark, d):
     """Documents each of whose fields is wrong where its id has a divisor of its own."""
     i, n = F.col("doc_id"), F.col("doc_id").cast("string")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folia.functions import spacing
 from folia.functions import text as T
+from folia.operators import catalog as C
+from folia.operators import documents as D
+from folia.operators import edges as E
 from folia.operators import storage as R
 from folia.plans import index_queries as I
 from folia.plans import link_queries as L
@@ -21,9 +24,29 @@ def loose_regex(spark, d):
     return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), F.regexp_like("text", T.loose_pattern(F.lit("the o"))).alias("hit"))
 
 
-@query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, replace(replace(regexp_replace(text, '(?i)(the|and)', chr(1) || '\\1' || chr(2), 'g'), chr(1), '['), chr(2), ']') AS text FROM blocks_v"))
+def _sql_gaps(w: str) -> str:
+    return f"array_to_string(string_split({V.sql_norm(w)}, ''), '{T.GAP}')"
+
+
+def _sql_escape(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_HIT = f"regexp_replace(raw, '(?i)(' || {_sql_gaps('w')} || '|' || {_sql_gaps("'the o'")} || ')', chr(1) || '\\1' || chr(2), 'g')"
+
+
+@query(V.with_views(V.BLOCKS, body=f"""
+SELECT doc_id, n, CASE WHEN {V.sql_norm("w")} = '' THEN {_sql_escape("raw")} ELSE replace(replace({_sql_escape(_HIT)}, chr(1), '<mark>'), chr(2), '</mark>') END AS text
+FROM (SELECT doc_id, n, '<b> "' || text || '" & ''co''' AS raw, CASE WHEN n % 3 = 2 THEN ' . ' ELSE regexp_extract(text, '[A-Za-z]{{2,}}') END AS w FROM blocks_v)"""))
 def highlight_terms(spark, d):
-    return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), F.regexp_replace("text", "(?iu)(the|and)", "[$1]").alias("text"))
+    """The first word of each line and two fixed ones, with gaps between letters; in every third line none."""
+    raw = F.concat(F.lit('<b> "'), "text", F.lit("\" & 'co'"))
+    word = F.regexp_extract("text", "[A-Za-z]{2,}", 0)
+    n = F.col("n")
+    terms = F.when((n % 3 == 2) | (T.norm(word) == ""), F.array(F.lit(" . "))).otherwise(F.array(word, F.lit("the o")))
+    return V.blocks_v(spark, d).select("doc_id", n.cast("long").alias("n"), T.highlight_terms(raw, terms).alias("text"))
 
 
 @query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, length(regexp_replace(text || 'ϡܐ', '[가-힣ㄱ-ㆎ一-鿿 -~·°×‐-⁯⅐-⇿①-➿\\x{3000}-〿㈀-㏿＀-￯]', '', 'g')) AS odd FROM blocks_v"))
@@ -42,10 +65,16 @@ def is_empty_block(spark, d):
     return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), (F.length(T.norm(F.col("text"))) < 15).alias("empty"))
 
 
-@query(V.with_views(V.BLOCKS, body="SELECT doc_id, n FROM blocks_v WHERE regexp_matches(CASE WHEN n % 5 = 0 THEN 'Ⅲ. ' || text ELSE text END, '^\\s*([Ⅰ-Ⅻ]|[IVX]{1,4})\\s*[.．]?\\s*\\S') AND n % 5 = 0"))
+_MARKED = "CASE n % 6 WHEN 0 THEN 'Ⅲ. ' WHEN 1 THEN 'XI ．' WHEN 2 THEN 'VI' WHEN 3 THEN 'i. ' ELSE '' END || CASE WHEN n % 4 < 2 THEN left(text, 27) ELSE text END"
+
+
+@query(V.with_views(V.BLOCKS, body=f"SELECT doc_id, n, regexp_matches({_MARKED}, '^\\s*(?:Ⅲ|[IVX]{{1,4}})\\s*[.．]\\s*[^\\s].{{0,25}}$') AS marker FROM blocks_v"))
 def is_section_marker(spark, d):
-    line = F.when(F.col("n") % 5 == 0, F.concat(F.lit("Ⅲ. "), "text")).otherwise(F.col("text"))
-    return V.blocks_v(spark, d).where(line.rlike(r"^\s*([Ⅰ-Ⅻ]|[IVX]{1,4})\s*[.．]?\s*\S") & (F.col("n") % 5 == 0)).select("doc_id", F.col("n").cast("long").alias("n"))
+    """Lines behind roman numbers with and without a full stop, whole or cut."""
+    n = F.col("n")
+    mark = F.coalesce(*(F.when(n % 6 == i, m) for i, m in enumerate(("Ⅲ. ", "XI ．", "VI", "i. "))), F.lit(""))
+    line = F.concat(mark, F.when(n % 4 < 2, F.left("text", F.lit(27))).otherwise(F.col("text")))
+    return V.blocks_v(spark, d).select("doc_id", n.cast("long").alias("n"), E.is_marker(line).alias("marker"))
 
 
 @query(V.with_views(V.LINKS, body="SELECT page_id, i, CASE WHEN i % 2 = 1 THEN 'https://files.example.org/boardCnts/fileDown.do?m=' || page_id || '&s=x&fileSeq=' || i ELSE '' END AS url FROM links_v WHERE page_id IN (SELECT page_id FROM links_v GROUP BY page_id HAVING max(i) >= 0)"))
@@ -66,15 +95,22 @@ def page_label(spark, d):
     return V.sections_v(spark, d).select("doc_id", "s", T.page_label(pages, printed).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN source = 'src0' THEN '교무학사 공통자료' ELSE '' END AS department FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{D.COMMON_DEPARTMENT}' ELSE '' END AS department FROM documents")
 def default_department(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "src0", "교무학사 공통자료").otherwise("").alias("department"))
+    """Every third document comes from the site of common material, another third from its source, the rest from none."""
+    i = F.col("doc_id")
+    site = F.when(i % 3 == 0, D.COMMON_SITE).when(i % 3 == 1, F.col("source"))
+    return table(spark, d, "documents").select("doc_id", D.default_department(site).alias("department"))
 
 
-@query(V.with_views(V.SECTIONS, body="SELECT doc_id, s, s % 3 <> 0 AND regexp_matches(heading || CASE WHEN s % 2 = 0 THEN ' 구간 ' || s ELSE '' END, '\\s[0-9]+쪽$|\\s구간 [0-9]+$') AS untitled FROM sections_v"))
+@query(V.with_views(V.DOCS, V.SECTIONS, body="""
+SELECT doc_id, s, s % 7 <> 0 AND (s % 5 = 1 OR (doc_id % 3 <> 0 AND (format = 'hwpx' OR regexp_matches(heading || CASE WHEN s % 2 = 0 THEN ' 구간 ' || s ELSE '' END, '\\s[0-9]+쪽$|\\s구간 [0-9]+$')))) AS untitled FROM sections_v JOIN docs_v USING (doc_id)"""))
 def is_untitled(spark, d):
-    name = F.concat("heading", F.when(F.col("s") % 2 == 0, F.concat(F.lit(" 구간 "), F.col("s").cast("string"))).otherwise(""))
-    return V.sections_v(spark, d).select("doc_id", "s", ((F.col("s") % 3 != 0) & name.rlike(r"\s\d+쪽$|\s구간 \d+$")).alias("untitled"))
+    """Names that somebody has set, marked ones, those of documents with and without contents, and of paragraphs."""
+    s = F.col("s")
+    name = F.concat("heading", F.when(s % 2 == 0, F.concat(F.lit(" 구간 "), s.cast("string"))).otherwise(""))
+    rows = V.sections_v(spark, d).join(V.docs_v(spark, d).select("doc_id", "format"), "doc_id")
+    return rows.select("doc_id", "s", D.is_untitled(s % 7 != 0, s % 5 == 1, F.col("doc_id") % 3 == 0, F.col("format"), name).alias("untitled"))
 
 
 @query(V.with_views(V.SECTIONS, body="""
@@ -96,24 +132,36 @@ def reassign_links(spark, d):
     return L.owned(links, n.select("page_id", "s", (F.col("s") * 3).alias("a"), (F.col("s") * 3 + 2).alias("z"))).select("page_id", "i", "s")
 
 
-@query(V.with_views(V.DOCS, body=f"""
-SELECT sheet, coalesce(by_id, by_title) AS doc_id FROM (
-  SELECT s.doc_id AS sheet, CASE WHEN s.doc_id % 3 = 0 THEN s.doc_id END AS by_id, (SELECT min(d.doc_id) FROM docs_v d WHERE {V.sql_norm('d.title')} = {V.sql_norm('s.title')}) AS by_title FROM docs_v s WHERE s.doc_id % 4 = 1)"""))
-def bulk_toc_match(spark, d):
-    """Outline sheets to documents: by id, else by the key of the title (the first document of it)."""
-    docs = V.docs_v(spark, d).select("doc_id", T.norm(F.col("title")).alias("key"))
-    sheets = docs.where("doc_id % 4 = 1").select(F.col("doc_id").alias("sheet"), "key", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("given"))
-    ids = docs.select(F.col("doc_id").alias("by_id"))
-    titles = docs.groupBy("key").agg(F.min("doc_id").alias("by_title"))
-    return sheets.join(ids, F.col("given") == F.col("by_id"), "left").join(titles, "key", "left").select("sheet", F.coalesce("by_id", "by_title").alias("doc_id"))
+_SHEETS = """sheet_v AS (SELECT '목차_' || title || ' ' || doc_id || '.xlsx' AS name, CASE WHEN doc_id % 3 = 0 THEN doc_id WHEN doc_id % 3 = 1 THEN -doc_id - 1 END AS given, CASE WHEN doc_id % 5 = 4 THEN title || doc_id ELSE title END AS said FROM docs_v)"""
 
 
-@query(V.with_views(V.DOCS, body="SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN year + 1 ELSE year END AS year, CASE WHEN doc_id % 5 = 0 THEN replace(year || ' ' || title, year::VARCHAR || ' ', (year + 1)::VARCHAR || ' ') ELSE year || ' ' || title END AS title, department FROM docs_v"))
+@query(V.with_views(V.DOCS, _SHEETS, body=f"""
+SELECT name, coalesce(doc_id, -1) AS doc_id, how, CASE WHEN doc_id IS NULL THEN 'unknown' WHEN row_number() OVER (PARTITION BY doc_id ORDER BY name DESC) > 1 THEN 'repeated' ELSE '' END AS problem FROM (
+  SELECT name, coalesce(i.doc_id, t.doc_id) AS doc_id, CASE WHEN i.doc_id IS NOT NULL THEN 'id' WHEN t.doc_id IS NOT NULL THEN 'name' ELSE '' END AS how
+  FROM sheet_v LEFT JOIN docs_v i ON i.doc_id = given LEFT JOIN (SELECT {V.sql_norm('title')} AS key, max(doc_id) AS doc_id FROM docs_v GROUP BY ALL) t ON t.key = {V.sql_norm('said')})"""))
+def bulk_toc_match(spark, d):
+    """A sheet for every document: a third with its id, a third with an unknown one, the rest, and those of unknown ids, by the name."""
+    i = F.col("doc_id")
+    docs = V.docs_v(spark, d).select("doc_id", "title")
+    name = F.concat(F.lit("목차_"), "title", F.lit(" "), i.cast("string"), F.lit(".xlsx"))
+    sheets = docs.select(name.alias("name"), F.when(i % 3 == 0, i).when(i % 3 == 1, -i - 1).alias("given"), F.when(i % 5 == 4, F.concat("title", i.cast("string"))).otherwise(F.col("title")).alias("title"))
+    got = C.match_sheets(sheets, docs)
+    return got.select("name", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "how", "problem")
+
+
+@query(V.with_views(V.DOCS, body="""
+SELECT doc_id, CASE WHEN new THEN year + 1 ELSE year END AS year, CASE WHEN new THEN (year + 1) || ' ' || title ELSE year || ' ' || title END AS title,
+  CASE WHEN new AND (doc_id % 2 = 0 OR doc_id % 7 = 0) THEN 'new' ELSE CASE WHEN doc_id % 7 = 0 THEN '' ELSE levels[1] END END AS levels, CASE WHEN new AND doc_id % 3 = 0 THEN 'new category' ELSE format END AS category,
+  CASE WHEN new AND doc_id % 4 = 0 THEN 'new department' ELSE department END AS department, CASE WHEN new AND doc_id % 20 = 0 THEN 'http://new' ELSE 'http://' || doc_id END AS works_url, CASE WHEN new AND doc_id % 25 = 0 THEN 'new site' ELSE 'old site' END AS site, created_at
+FROM (SELECT *, doc_id % 5 = 0 AS new FROM docs_v)"""))
 def replace_edition(spark, d):
-    """Documents with what their new editions say; the id stays, and the title's year follows."""
-    docs = V.docs_v(spark, d).withColumn("title", F.concat_ws(" ", "year", "title"))
-    new = docs.where("doc_id % 5 = 0").select("doc_id", (F.col("year") + 1).alias("new_year"), F.lit(None).cast("string").alias("new_department"))
-    return docs.join(new, "doc_id", "left").select("doc_id", F.coalesce("new_year", "year").alias("year"), T.renew_title(F.col("title"), F.col("year"), F.coalesce("new_year", "year")).alias("title"), F.coalesce("new_department", "department").alias("department"))
+    """Documents after new editions of every fifth, which say some fields and leave others; levels guessed from a file's name don't count, but where there are none."""
+    i = F.col("doc_id")
+    some = lambda test, x: F.when(test, F.lit(x))
+    docs = V.docs_v(spark, d).select("doc_id", F.concat_ws(" ", "year", "title").alias("title"), "year", F.when(i % 7 != 0, F.col("levels")).otherwise(F.array().cast("array<string>")).alias("levels"), F.col("format").alias("category"), "department", F.concat(F.lit("http://"), i.cast("string")).alias("works_url"), F.lit("old site").alias("site"), "created_at")
+    new = docs.where(i % 5 == 0).select("doc_id", F.lit(None).cast("string").alias("title"), (F.col("year") + 1).alias("year"), F.array(F.lit("new")).alias("levels"), F.when(i % 2 == 0, "folder").otherwise("file").alias("levels_from"), some(i % 3 == 0, "new category").alias("category"), some(i % 4 == 0, "new department").alias("department"), some(i % 20 == 0, "http://new").alias("works_url"), some(i % 25 == 0, "new site").alias("site"))
+    got = C.replace_editions(docs, new)
+    return got.select("doc_id", "year", "title", F.array_join("levels", ",").alias("levels"), "category", "department", "works_url", "site", "created_at")
 
 
 _YEAR, _ROOM = 2026, 20_000

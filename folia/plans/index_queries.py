@@ -77,20 +77,6 @@ def search_shards(spark, d):
     return postings(refs(V.docs_v(spark, d), V.sections_v(spark, d))).select("level", "gram", "part", T.gram_shard(F.col("gram")).alias("shard"), T.encode_postings(F.col("refs")).alias("code"))
 
 
-@query(V.with_views(V.DOCS, _LEVEL_DOCS, V.SECTIONS, _REFS, body="SELECT level, ref, heading, array_to_string(range(block_start + 1, block_end + 2), ',') AS pages FROM ref_v"))
-def section_index(spark, d):
-    rows = refs(V.docs_v(spark, d), V.sections_v(spark, d))
-    return rows.select("level", "ref", "heading", F.array_join(F.sequence(F.col("block_start") + 1, F.col("block_end") + 1), ",").alias("pages"))
-
-
-@query(V.with_views(V.DOCS, V.SECTIONS, body="SELECT doc_id, title, year, department, format, coalesce(n, 0) AS sections, coalesce(blocks, 0) AS blocks FROM docs_v LEFT JOIN (SELECT doc_id, count(*) AS n, (max(block_end) + 1)::BIGINT AS blocks FROM sections_v GROUP BY doc_id) USING (doc_id)"))
-def doc_summary(spark, d):
-    n = V.sections_v(spark, d).groupBy("doc_id").agg(F.count("*").alias("sections"), (F.max("block_end") + 1).cast("long").alias("blocks"))
-    out = V.docs_v(spark, d).join(n, "doc_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "title", "year", "department", "format", F.coalesce("sections", zero).alias("sections"), F.coalesce("blocks", zero).alias("blocks"))
-
-
 _ALL_LEVELS = "(VALUES " + ", ".join(f"('{x}')" for x in V.LEVELS) + ") v(level)"
 
 
@@ -136,33 +122,3 @@ def index_diff(spark, d):
 @query("SELECT 'documents/' || doc_id || '.json' AS path FROM documents WHERE doc_id % 9 = 0 OR (doc_id % 11 = 0) <> (doc_id % 13 = 0) EXCEPT SELECT 'documents/' || doc_id || '.json' FROM documents WHERE doc_id % 11 = 0 AND doc_id % 13 = 0")
 def remote_conflicts(spark, d):
     return changes(_saved(spark, d, False), _saved(spark, d, True)).select("path")
-
-
-@query(V.with_views(V.DOCS, body="""
-SELECT 'duplicate' AS problem, title AS what FROM docs_v GROUP BY title HAVING count(*) > 1
-UNION ALL SELECT 'missing', doc_id::VARCHAR FROM docs_v WHERE doc_id % 11 = 0
-UNION ALL SELECT 'not listed', doc_id::VARCHAR FROM docs_v WHERE doc_id % 13 = 0"""))
-def consistency_check(spark, d):
-    docs = V.docs_v(spark, d)
-    listed, there = docs.where("doc_id % 13 <> 0").select("doc_id"), docs.where("doc_id % 11 <> 0").select("doc_id")
-    twice = docs.groupBy("title").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("problem"), F.col("title").alias("what"))
-    missing = docs.select("doc_id").join(there, "doc_id", "left_anti").select(F.lit("missing"), F.col("doc_id").cast("string"))
-    return twice.union(missing).union(docs.select("doc_id").join(listed, "doc_id", "left_anti").select(F.lit("not listed"), F.col("doc_id").cast("string")))
-
-
-@query(V.with_views(V.DOCS, body=f"SELECT doc_id, (row_number() OVER (ORDER BY created_at DESC, doc_id))::INTEGER AS place FROM docs_v WHERE contains({V.sql_norm('title')}, 'on') AND list_contains(levels, 'en')"))
-def filter_documents(spark, d):
-    found = V.docs_v(spark, d).where(F.contains(T.norm(F.col("title")), F.lit("on")) & F.array_contains("levels", "en"))
-    # the order of a list that people page through: each level's list is one window
-    level = F.element_at("levels", 1)
-    return found.select("doc_id", F.row_number().over(Window.partitionBy(level).orderBy(F.desc("created_at"), "doc_id")).alias("place"))
-
-
-@query(V.with_views(V.BLOCKS, V.OUTLINE, body="SELECT doc_id, c, left(k, 1) AS kind, t AS title, (b + 1) || '쪽' AS page FROM outline_v WHERE k <> 'bullet'"))
-def toc_index(spark, d):
-    return V.outline_v(spark, d).where("k <> 'bullet'").select("doc_id", "c", F.left("k", F.lit(1)).alias("kind"), F.col("t").alias("title"), F.concat((F.col("b") + 1).cast("string"), F.lit("쪽")).alias("page"))
-
-
-@query(V.with_views(V.DOCS, body="SELECT doc_id, CASE WHEN department = 'src0' THEN 'default' ELSE department END AS department, levels[1] AS level FROM docs_v"))
-def finalize_documents(spark, d):
-    return V.docs_v(spark, d).select("doc_id", F.when(F.col("department") == "src0", "default").otherwise(F.col("department")).alias("department"), F.element_at("levels", 1).alias("level"))

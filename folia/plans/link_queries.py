@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.functions import text as T
@@ -59,6 +59,11 @@ _NUMBER = """form_v AS (SELECT page_id, id, s, url, text, CASE WHEN manual THEN
 )"""
 
 
+def safe_name(text: Column) -> Column:
+    """At most 60 characters that file names may hold."""
+    return F.trim(F.left(F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|]', ""), r"\s+", " ")), F.lit(60)))
+
+
 def numbered(links: DataFrame) -> DataFrame:
     """Links to files with form_no: by first appearance of the address, those added by hand (manual) behind the others."""
     order = F.struct(F.coalesce("manual", F.lit(False)).alias("m"), F.col("i"), F.col("id"))
@@ -82,10 +87,21 @@ def form_list(spark, d):
     return _forms(spark, d).groupBy("page_id", "form_no").agg(F.min("id").alias("id"))
 
 
-@query(V.with_views(V.LINKS, _SECTIONS, _OWNED, _ATTACH, _NUMBER, body="SELECT page_id, s, string_agg(form_no || ' ' || text, ' | ' ORDER BY form_no, id) AS forms, count(*) AS n FROM form_v GROUP BY page_id, s"))
+_SAFE = r"""trim(left(trim(regexp_replace(regexp_replace(text, '[\\/:*?"<>|]', '', 'g'), '\s+', ' ', 'g')), 60))"""
+
+
+@query(V.with_views(V.LINKS, _SECTIONS, _OWNED, _ATTACH, _NUMBER, body=f"""
+SELECT page_id, coalesce(s, -1) AS s, CASE WHEN s IS NULL THEN '기타' WHEN s % 2 = 0 THEN '단원 ' || (s // 2) || ' › 업무 ' || s ELSE '업무 ' || s END AS title, string_agg(lpad(form_no::VARCHAR, 3, '0') || '_' || {_SAFE}, ' | ' ORDER BY form_no) AS forms, count(*) AS n
+FROM (SELECT page_id, form_no, arg_min(s, id) AS s, arg_min(text, id) AS text FROM form_v GROUP BY page_id, form_no) GROUP BY page_id, s"""))
 def forms_by_section(spark, d):
-    rows = F.sort_array(F.collect_list(F.struct("form_no", "id", F.concat_ws(" ", "form_no", "text").alias("t"))))
-    return _forms(spark, d).groupBy("page_id", "s").agg(rows.alias("r"), F.count("*").alias("n")).select("page_id", "s", F.array_join("r.t", " | ").alias("forms"), "n")
+    """Each form once, below its first section; every second section stands below a heading."""
+    forms = _forms(spark, d).groupBy("page_id", "form_no").agg(F.min_by("s", "id").alias("s"), F.min_by("text", "id").alias("text"))
+    s = F.col("s")
+    sections = page_sections(V.links_v(spark, d)).select("page_id", "s", F.concat(F.lit("업무 "), s.cast("string")).alias("heading"), F.when(s % 2 == 0, F.concat(F.lit("단원 "), F.floor(s / 2).cast("string"))).alias("parent_heading"))
+    title = F.when(F.col("heading").isNull(), "기타").otherwise(F.concat_ws(" › ", F.nullif("parent_heading", F.lit("")), "heading"))
+    rows = forms.join(sections, ["page_id", "s"], "left").withColumns({"title": title, "name": F.concat_ws("_", F.lpad(F.col("form_no").cast("string"), 3, "0"), safe_name(F.col("text")))})
+    own = F.sort_array(F.collect_list(F.struct("form_no", "name")))
+    return rows.groupBy("page_id", F.coalesce("s", F.lit(-1)).alias("s"), "title").agg(own.alias("f"), F.count("*").alias("n")).select("page_id", "s", "title", F.array_join("f.name", " | ").alias("forms"), "n")
 
 
 @query(V.with_views(V.LINKS, _SECTIONS, _OWNED, _ATTACH, _NUMBER, body="SELECT page_id, (dense_rank() OVER (PARTITION BY page_id ORDER BY form_no))::INTEGER AS form_no, id FROM form_v WHERE manual = 0 OR right(id, 1) <> '2'"))

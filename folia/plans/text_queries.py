@@ -121,10 +121,12 @@ def looks_broken(spark, d):
     return V.docs_v(spark, d).select("doc_id", T.looks_broken(spread).alias("broken"))
 
 
-@query(V.with_views(V.BLOCKS, body=r"""
-SELECT doc_id, n, CASE WHEN length(t) > 40 THEN trim(regexp_replace(left(t, cut), '[\s:：,]+$', '')) ELSE t END AS title, CASE WHEN length(t) > 40 THEN trim(regexp_replace(substr(t, cut + 1), '^[\s:：.。,-]+', '')) ELSE '' END AS rest
+TIDY = r"""SELECT doc_id, n, CASE WHEN length(t) > 40 THEN trim(regexp_replace(left(t, cut), '[\s:：,]+$', '')) ELSE t END AS title, CASE WHEN length(t) > 40 THEN trim(regexp_replace(substr(t, cut + 1), '^[\s:：.。,-]+', '')) ELSE '' END AS rest
 FROM (SELECT *, CASE WHEN m <> '' THEN 12 + length(rtrim(m)) WHEN instr(h, ' ') > 0 AND length(h) - instr(reverse(h), ' ') >= 12 THEN length(h) - instr(reverse(h), ' ') ELSE 40 END AS cut
-FROM (SELECT *, regexp_extract(substr(h, 13, 40), '^(?s:.*?)([:：]\s|\s[-–→]\s)', 0) AS m FROM (SELECT doc_id, n, text AS t, left(text, 41) AS h FROM (SELECT doc_id, n, regexp_replace(text, '\s+', ' ', 'g') AS text FROM blocks_v))))"""))
+FROM (SELECT *, regexp_extract(substr(h, 13, 40), '^(?s:.*?)([:：]\s|\s[-–→]\s)', 0) AS m FROM (SELECT doc_id, n, text AS t, left(text, 41) AS h FROM (SELECT doc_id, n, regexp_replace(text, '\s+', ' ', 'g') AS text FROM blocks_v))))"""
+
+
+@query(V.with_views(V.BLOCKS, body=TIDY))
 def tidy_title(spark, d):
     return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), T.tidy_title(F.col("text")).alias("t")).select("doc_id", "n", "t.title", "t.rest")
 
@@ -228,16 +230,14 @@ def section_pages(spark, d):
     return V.sections_v(spark, d).select("doc_id", "s", F.array_join(F.sequence(F.col("block_start") + 1, F.col("block_end") + 1), ",").alias("pdf_pages"))
 
 
-@query(V.with_views(V.SECTIONS, body=f"""
-SELECT doc_id, s, CASE WHEN length(x) > 90 THEN left(x, 90) || '…' ELSE x END AS lead
+LEAD = f"""SELECT doc_id, s, CASE WHEN length(x) > 90 THEN left(x, 90) || '…' ELSE x END AS lead
 FROM (SELECT doc_id, s, trim(regexp_replace(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i <= 3 AND (contains({V.sql_norm('l[i]')}, h) OR contains(h, {V.sql_norm('l[i]')})) THEN NULL ELSE l[i] END), lambda y: y IS NOT NULL), ' '), '\\s+', ' ', 'g')) AS x
-FROM (SELECT doc_id, s, {V.sql_norm('heading')} AS h, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM sections_v))"""))
+FROM (SELECT doc_id, s, {V.sql_norm('heading')} AS h, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM sections_v))"""
+
+
+@query(V.with_views(V.SECTIONS, body=LEAD))
 def section_lead(spark, d):
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    own = V.sections_v(spark, d).select("doc_id", "s", T.norm(F.col("heading")).alias("h"), lines.alias("l"))
-    kept = F.filter("l", lambda x, i: ~((i < 3) & (F.contains(T.norm(x), F.col("h")) | F.contains(F.col("h"), T.norm(x)))) & ~x.rlike(r"^업무\s*개요$"))
-    text = own.select("doc_id", "s", F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " ")).alias("x"))
-    return text.select("doc_id", "s", F.when(F.length("x") > 90, F.concat(F.left("x", F.lit(90)), F.lit("…"))).otherwise(F.col("x")).alias("lead"))
+    return V.sections_v(spark, d).select("doc_id", "s", T.section_lead(F.col("heading"), F.col("text"), 90).alias("lead"))
 
 
 _PRINTED = "CASE WHEN page % 5 = 0 THEN NULL WHEN page % 7 = 0 THEN page - 3 ELSE page - 4 END"

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from folia.plans import catalog_queries, edition_queries, index_queries, link_queries, match_queries, page_queries, search_queries, structure_queries, text_queries  # noqa: F401
+    from folia.plans import catalog_queries, edition_queries, index_queries, link_queries, list_queries, match_queries, page_queries, search_queries, structure_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
