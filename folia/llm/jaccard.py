@@ -39,7 +39,8 @@ THRESHOLD, WORDS = 0.8, 5
 BANDS, ROWS = 32, 5
 #: Values compared before each look at the posterior, and the probability below which a pair goes.
 STEP, TOLERANCE = 16, 1e-6
-BLOCK = 1500
+#: Members of a block at most, and bytes of their shingle sets (on average).
+BLOCK, BLOCK_BYTES = 1500, 24 << 20
 _N = BANDS * ROWS
 
 
@@ -252,8 +253,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows with (i, j, block): each member stands in every pair of blocks that its own takes part in."""
-    dealt = rows.join(sizes.select(key, F.ceil(F.col("n") / BLOCK).cast("int").alias("_k")), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
+    """Rows with (i, j, block): each member stands in every pair of blocks that its own takes part in. sizes: (key, n, bytes)."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = rows.join(sizes.select(key, blocks.alias("_k")), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     return dealt.select("*", other.alias("_o")).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).drop("_k", "_o")
 
@@ -263,10 +265,11 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sigs, bands, seen = [], [], [], {}
+        keys, sigs, bands, sizes, seen = [], [], [], [], {}
         for s in _sets(b.column("text")):
             key = hashlib.md5(s.tobytes()).digest() if len(s) else None
             keys.append(key)
+            sizes.append(len(s))
             if key is None or key in seen:
                 sigs.append(None if key is None else sigs[seen[key]])
                 bands.append(None if key is None else bands[seen[key]])
@@ -276,10 +279,10 @@ def join(docs: DataFrame) -> DataFrame:
             sigs.append(v.astype("<u2").tobytes())
             mixed = tk.mix(v.astype(tk.U).reshape(BANDS, ROWS) + tk.U(11))
             bands.append(tk.mix((mixed * (np.arange(ROWS, dtype=tk.U) * tk.U(2) + tk.U(3))).sum(1, dtype=tk.U) + np.arange(BANDS, dtype=tk.U)).view(np.int64).tolist())
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "sig", "bands"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "key", "sig", "bands", "size"])
 
-    signed = written(map_batches(docs, sign, "doc_id long, key binary, sig binary, bands array<long>"), "signed")
-    ids = written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("id", F.col("key")), "classes")
+    signed = written(map_batches(docs, sign, "doc_id long, key binary, sig binary, bands array<long>, size long"), "signed")
+    ids = written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size")).withColumn("id", F.col("key")), "classes")
     reps = signed.join(ids.select("key", "id", F.col("first").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"]).select("id", "sig", "bands")
     reps = written(reps, "reps")
 
@@ -289,13 +292,13 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = buckets.groupBy("n", "_0", "_1").agg(F.min("band").alias("band")).select("band", "n")
     buckets = written(buckets, "buckets")
     in_band = reps.select("id", "sig", F.explode("bands").alias("band"))
-    dealt = _blocked(in_band.join(buckets.select("band"), "band", "left_semi"), "band", buckets)
+    dealt = _blocked(in_band.join(buckets.select("band"), "band", "left_semi"), "band", buckets.withColumn("bytes", F.lit(0)))
     proposed = dealt.select("band", "i", "j", "block", "id", "sig").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_propose, "a binary, b binary")
     maybe = written(components(proposed).withColumnRenamed("class", "comp"), "maybe")
 
     # the sets of the members of components, from their texts again
     want = maybe.join(ids, "id")
-    sizes = want.groupBy("comp").agg(F.count("*").alias("n"))
+    sizes = want.groupBy("comp").agg(F.count("*").alias("n"), (F.sum("size") * 8).alias("bytes"))
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         got = [s.astype("<u8").tobytes() for s in _sets(b.column("text"))]

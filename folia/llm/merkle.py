@@ -139,7 +139,8 @@ def _prove(part: pd.DataFrame, outer: pd.DataFrame, levels: int) -> pd.DataFrame
 
 def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document; superblocks have `levels` levels."""
-    placed = number(leaves(docs), "tree", [F.asc_nulls_first("doc_id"), F.col("leaf")], "pos", "long")
+    # the texts are read once: dealing leaves into ranges looks at them twice
+    placed = number(written(leaves(docs), "merkle-hashes"), "tree", [F.asc_nulls_first("doc_id"), F.col("leaf")], "pos", "long")
     # ids go to pandas as text, which has nulls
     rows = written(_with_height(placed.select(F.col("doc_id").cast("string").alias("doc_id"), "tree", "pos", F.col("leaf").alias("node"), "changed")), "merkle-leaves")
     stages = climb(rows.select("tree", "pos", "node", "rest"), levels)

@@ -194,14 +194,16 @@ def test_pruning_keeps_what_can_reach_the_threshold():
 
 
 def test_blocks_of_large_groups_give_the_same(spark, docs):
-    block = jaccard.BLOCK
+    block, size = jaccard.BLOCK, jaccard.BLOCK_BYTES
     many = spark.createDataFrame([(i, BASE.replace(BASE.split()[i % 9], f"w{i}", 1)) for i in range(60)], "doc_id long, text string")
     whole = sorted(map(tuple, jaccard.join(many).collect()))
     try:
         jaccard.BLOCK = 7
         assert sorted(map(tuple, jaccard.join(many).collect())) == whole
+        jaccard.BLOCK, jaccard.BLOCK_BYTES = block, 9000  # some seven sets
+        assert sorted(map(tuple, jaccard.join(many).collect())) == whole
     finally:
-        jaccard.BLOCK = block
+        jaccard.BLOCK, jaccard.BLOCK_BYTES = block, size
     assert {r[1] for r in whole} == {0}
 
 
