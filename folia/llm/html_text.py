@@ -4,16 +4,19 @@ A page is cut into blocks of text. A logistic classifier over a block's length,
 the elements and names around it gives each block the cost of calling it content or boilerplate, which
 become the capacities of its edges to the two terminals; neighbours in page order and blocks of one parent
 element are tied by edges that cost when they are labelled apart. The maximum flow's minimum cut separates
-content from boilerplate for the page as a whole. The classifier's weights are learnt on a bounded sample
-of pages (SAMPLE) whose own elements (article, main) serve as labels, every page once as it is and twice
-with what its elements say left out, so that it can also judge pages without them; weights of features that
-the sample doesn't show stay near PRIOR.
+content from boilerplate for the page as a whole. The classifier's weights are drawn towards 0 and learnt on a
+bounded sample of pages (SAMPLE, and LEARNT blocks of each) whose own elements (article, main) serve as labels.
+Every page is seen once as it is, twice with what its elements say left out, and REDRAWN times with its parts
+under other elements and names: the article under an article's or none, the rest and copies of paragraphs
+under those of boilerplate, inside the article or beside it. Without a page that has labels, FALLBACK is used.
 
 What no text can be never becomes a block: the head, scripts, styles, forms' controls, pictures and what
 stands in for media; such elements and all inline ones don't end a block. Inside a block white space becomes
 one space, character references are decoded, a line break is white space; blocks are joined in page order by
 one line feed. Null or empty html gives an empty text, as does a page without blocks. Pages with the same id
-are independent rows. Other columns are passed over.
+are independent rows, equal pages get equal texts and count once in learning; pages with equal hashes are
+learnt from in no order that matters. An empty table gives no rows. Other columns are passed over. Reading a
+page takes time in proportion to its length, however its elements are nested or left open.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+import zlib
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,14 @@ from pyspark.sql import functions as F
 
 from folia.llm.arrow import map_batches
 
-#: Most pages that the classifier learns from.
-SAMPLE = 2_000
+#: Most pages that the classifier learns from, most blocks of a page, evenly spaced, and how often each is redrawn.
+SAMPLE, LEARNT, REDRAWN = 2_000, 200, 4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_REPLIES = re.compile(r"^\W*(?:\d+\s+)?(?:comments?|repl(?:y|ies)|responses?|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)(?:\s*\(?\d+\)?)?\W*$", re.I)
-
+# fixed values: headings over readers' comments; words that an article may use as well need a number beside them
+_COMMENTS = r"(?:comments?|kommentare?|commentaires?|comentarios?)"
+_REPLIES = r"(?:comments?|repl(?:y|ies)|responses?|kommentare?|antwort(?:en)?|commentaires?|réponses?|comentarios?|respuestas?)"
+_OPENS_REPLIES = re.compile(rf"^\W*(?:\d+\s+{_REPLIES}|{_REPLIES}\s*\W?\d+|{_COMMENTS})\W*$", re.I)
 _IMPRINT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos)", re.I)
 
 # fixed values: elements, and names of elements, by what they say of a block
@@ -48,10 +54,11 @@ _SHUTS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 _CLOSES_P = _BLOCKS - {"html", "body"}
 _GOOD_NAMES = frozenset("article articlebody article-body body content entry entry-content hentry main main-content maincontent post post-body post-content postbody story story-body text".split())
 _AD_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense ad-banner ad-slot promo promoted sponsor sponsored".split())
-_REPLY_NAMES = frozenset("comment comments commentlist comment-list comments-area discussion disqus disqus_thread feedback replies respond responses thread".split())
-_BAD_NAMES = frozenset("banner breadcrumb breadcrumbs button consent contentinfo cookie cookies copyright disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popular popup recommended related reply search share sharing sidebar signup skip social subscribe tags toolbar widget".split())
+_REPLY_NAMES = frozenset("comment comments commentlist comment-list comments-area discussion disqus disqus_thread feedback reactions replies respond responses thread".split())
+_NOTICE_NAMES = frozenset("consent cookie cookies gdpr login modal newsletter notification paywall popup sidebar signup subscribe subscription".split())
+_BAD_NAMES = frozenset("banner breadcrumb breadcrumbs button contentinfo copyright disclaimer footer form header masthead menu nav navbar navigation notice pager pagination popular recommended related reply search share sharing skip social tags toolbar widget".split())
 #: What the elements around a block say, one bit each.
-_ELEMENTS = ("article", "nav", "header", "footer", "aside", "form", "dialog", "good_name", "bad_name", "bad_part", "ad_name", "replies")
+_ELEMENTS = ("article", "nav", "header", "footer", "aside", "form", "dialog", "good_name", "bad_name", "bad_part", "ad_name", "notice_name", "replies")
 _BIT = {n: 1 << i for i, n in enumerate(_ELEMENTS)}
 _TAG_BIT = {"article": "article", "main": "article", "nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "form": "form", "dialog": "dialog"}
 
@@ -69,11 +76,15 @@ def _says(tag: str, attributes: str, around: int) -> int:
                 bits |= _BIT["ad_name"]
             elif name in _REPLY_NAMES:
                 bits |= _BIT["replies"]
+            elif name in _NOTICE_NAMES:
+                bits |= _BIT["notice_name"]
             elif name in _BAD_NAMES:
                 bits |= _BIT["bad_name"]
             elif name in _GOOD_NAMES:
                 bits |= _BIT["good_name"]
-            elif not _BAD_NAMES.isdisjoint(parts := re.split(r"[-_]", name)) or not _AD_NAMES.isdisjoint(parts):
+            elif not _NOTICE_NAMES.isdisjoint(parts := re.split(r"[-_]", name)):
+                bits |= _BIT["notice_name"]
+            elif not _BAD_NAMES.isdisjoint(parts) or not _AD_NAMES.isdisjoint(parts):
                 bits |= _BIT["bad_part"]
             elif not _REPLY_NAMES.isdisjoint(parts):
                 bits |= _BIT["replies"]
@@ -91,6 +102,8 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # element, its number, what it and those around it say
+    opened: dict[str, list[int]] = defaultdict(list)  # where elements of a name are in the stack
+    unclosed: set[str] = set()  # skipped elements that end nowhere below
     text: list[str] = []
     linked, in_a, n = 0, False, 0
 
@@ -113,13 +126,11 @@ def blocks(page: str) -> list[Block]:
                 linked += len(raw.strip())
 
     def close(tag: str, until: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in until:
-                return
+        if opened[tag] and all(not opened[x] or opened[x][-1] < opened[tag][-1] for x in until):
+            flush()
+            least = opened[tag][-1]
+            while len(stack) > least:
+                opened[stack.pop()[0]].pop()
 
     at, size = 0, len(page)
     while at < size:
@@ -142,7 +153,9 @@ def blocks(page: str) -> list[Block]:
         elif tag in _SKIPPED:
             if closed and tag not in _RAW:
                 continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end is None:
+                unclosed.add(tag)
             at = end.end() if end else size if tag in _RAW else at
         elif tag == "a":
             in_a = True
@@ -157,49 +170,51 @@ def blocks(page: str) -> list[Block]:
             in_a = False
             if tag not in _VOID and not closed:
                 n += 1
+                opened[tag].append(len(stack))
                 stack.append((tag, n, _says(tag, m[3], stack[-1][2] if stack else 0)))
     flush()
     return out
 
 
-#: Features of a block: the text's own, then what its elements say, then that another part of the page is an article's, that replies begin above, and that it is an imprint.
-_OWN = ("one", "words", "linked", "marks", "p", "heading", "li")
+#: Features of a block: the text's own, then what its elements say, then that another part of the page is an article's, that its element opens with a heading of replies, and that it is an imprint outside articles.
+_OWN = ("one", "words", "linked", "marks", "p", "heading", "li", "loose")
 _NAMES_OF = (*_OWN, *_ELEMENTS, "elsewhere", "below_replies", "imprint")
-#: Used where the sample has no labels, and drawn towards by learning.
-PRIOR = np.array([-1.0, 0.6, -3.0, 0.5, 0.8, 0.3, -0.5, 4.0, -5.0, -3.0, -5.0, -4.0, -4.0, -5.0, 1.5, -3.5, -1.0, -7.0, -6.0, -4.0, -7.0, -4.0])
-_HIDDEN = [i for i, n in enumerate(_NAMES_OF) if n in (*_ELEMENTS, "elsewhere")]
-
+_AT = {n: i for i, n in enumerate(_NAMES_OF)}
+_KINDS = [_AT[n] for n in ("p", "heading", "li", "loose")]
+_HIDDEN = [_AT[n] for n in (*_ELEMENTS, "elsewhere", "below_replies")]
+#: Weights where no page of the sample has labels: long texts and headings without links are content.
+FALLBACK = np.array([{"one": -3.0, "words": 1.5, "linked": -6.0, "heading": 2.0}.get(n, 0.0) for n in _NAMES_OF])
 
-#: How strongly learning is drawn towards PRIOR, for each example.
-DRAW = 0.01
+#: How strongly learning is drawn towards 0, for each example.
+DRAW = 0.001
 
 
 def features(own: list[Block]) -> np.ndarray:
     """One row of features for each block of a page."""
     out = np.zeros((len(own), len(_NAMES_OF)))
     some = any(b.bits & _BIT["article"] for b in own)
-    below: set[int] = set()
+    seen: dict[int, bool] = {}
     for i, b in enumerate(own):
         n = b.text.count(" ") + 1
         heading = b.tag[:1] == "h" and b.tag[1:].isdigit()
-        if len(b.text) < 40 and _REPLIES.match(b.text):
-            below.add(b.parent)
+        if b.parent not in seen:
+            seen[b.parent] = len(b.text) < 40 and bool(_OPENS_REPLIES.match(b.text))
         bits = [float(bool(b.bits & _BIT[x])) for x in _ELEMENTS]
-        out[i] = [1.0, math.log1p(n), b.linked, min(1.0, sum(b.text.count(c) for c in ".,;:!?") / n), b.tag == "p", heading, b.tag == "li", *bits, some and not bits[0], b.parent in below, bool(_IMPRINT.match(b.text))]
+        out[i] = [1.0, math.log1p(n), b.linked, min(1.0, sum(b.text.count(c) for c in ".,;:!?") / n), b.tag == "p", heading, b.tag == "li", not heading and b.tag not in ("p", "li"), *bits, some and not bits[0], seen[b.parent], not bits[0] and bool(_IMPRINT.match(b.text))]
     return out
 
 
 def learn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn towards PRIOR."""
-    w = PRIOR.copy()
+    """Logistic regression by Newton steps, drawn towards 0."""
     if len(y) == 0 or y.min() == y.max():
-        return w
+        return FALLBACK
+    w = np.zeros(x.shape[1])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     draw = DRAW * len(y)
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + draw * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + draw * (w - PRIOR)), -1, 1)
+        w -= np.clip(np.linalg.solve(h, x.T @ (weight * (p - y)) + draw * w), -1, 1)
     return w
 
 
@@ -225,42 +240,62 @@ def cut(bias: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        source, sink = n, n + 1
-        flow: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {source: {}, sink: {}}
-        for i in rest:
-            if bias[i] > 0:
-                flow[source][i] = bias[i]
-                flow[i][source] = 0.0
-            else:
-                flow[i][sink] = -bias[i]
-                flow[sink][i] = 0.0
-        while True:
-            back, queue = {source: source}, deque([source])
-            while queue and sink not in back:
-                i = queue.popleft()
-                for j, c in flow[i].items():
-                    if c > 1e-12 and j not in back:
-                        back[j] = i
-                        queue.append(j)
-            if sink not in back:
-                break
-            path, j = [], sink
-            while j != source:
-                path.append((back[j], j))
-                j = back[j]
-            least = min(flow[i][j] for i, j in path)
-            for i, j in path:
-                flow[i][j] -= least
-                flow[j][i] = flow[j].get(i, 0.0) + least
-        for i in rest:
-            label[i] = i in back
+    seen: set[int] = set()
+    for first in range(n):
+        if label[first] is None and first not in seen:
+            part, todo = [first], [first]
+            seen.add(first)
+            while todo:
+                for j in near[todo.pop()]:
+                    if j not in seen:
+                        seen.add(j)
+                        part.append(j)
+                        todo.append(j)
+            kept = _source_side(part, bias, near)
+            for i in part:
+                label[i] = i in kept
     return label
 
 
+def _source_side(part: list[int], bias: list[float], near: list[dict[int, float]]) -> set[int]:
+    """The source's side of a minimum cut of one connected part: a flow that blocks all shortest paths, until none is left."""
+    source, sink = -1, -2
+    room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in part} | {source: {}, sink: {}}
+    for i in part:
+        a, b = (source, i) if bias[i] > 0 else (i, sink)
+        room[a][b], room[b][a] = abs(bias[i]), 0.0
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            i = queue.popleft()
+            for j, c in room[i].items():
+                if c > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+        if sink not in level:
+            return set(level)
+        ahead = {i: [j for j in room[i] if level.get(j) == k + 1] for i, k in level.items()}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                least = min(room[a][b] for a, b in zip(path, path[1:]))
+                for a, b in zip(path, path[1:]):
+                    room[a][b] -= least
+                    room[b][a] += least
+                path = path[:1]
+            elif ahead[i] and room[i][ahead[i][-1]] > 1e-12:
+                path.append(ahead[i][-1])
+            elif ahead[i]:
+                ahead[i].pop()
+            else:
+                path.pop()
+                if path:
+                    ahead[path[-1]].pop()
+
+
 #: Most that a block's own features weigh, and the strengths of ties in page order and of ties of one parent.
-MOST, ORDER, SIBLING = 6.0, 0.7, 0.6
+MOST, ORDER, SIBLING = 6.0, 0.7, 1.0
 
 
 def costs(own: list[Block], w: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
@@ -283,17 +318,55 @@ def main_text(page: str | None, w: np.ndarray) -> str:
     return "\n".join(b.text for b, keep in zip(own, cut(*costs(own, w))) if keep)
 
 
+#: What stands around content, and around the rest, on pages that name their parts differently; prose stands under PROSE, too, and is no content there.
+CONTENT = (("article",), ("good_name",), ("article", "good_name"), ())
+REST = ("nav", "header", "footer", "aside", "form", "dialog", "bad_name", "bad_part", "ad_name", "notice_name", "replies", "below_replies")
+PROSE = ("nav", "header", "footer", "aside", "form", "dialog", "ad_name", "notice_name", "replies", "below_replies")
+#: How often a redrawn block of content stands under a name of boilerplate, and the words from which it is content still.
+MISNAMED, LONG = 0.15, 20
+
+
+def _redrawn(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The page's blocks under other elements and names, and its content once more under those of boilerplate."""
+    x, y = np.vstack([x, x[y == 1]]), np.concatenate([y, np.zeros(int(y.sum()))])
+    content = y == 1
+    prose = np.arange(len(y)) >= len(y) - content.sum()
+    x[:, _HIDDEN] = 0
+    if rng.random() < 0.25:  # a page that has no paragraphs
+        x[x[:, _AT["p"]] == 1, _AT["loose"]] = 1
+        x[:, _AT["p"]] = 0
+    around = CONTENT[rng.integers(len(CONTENT))]
+    inside = content | (rng.random(len(y)) < 0.5)
+    for name in around:
+        x[inside, _AT[name]] = 1
+    x[~inside, _AT["elsewhere"]] = float("article" in around)
+    x[x[:, _AT["article"]] == 1, _AT["imprint"]] = 0
+    for rows, names in ((~content & ~prose, REST), (prose, PROSE)):
+        at = np.flatnonzero(rows)
+        x[at, np.array([_AT[n] for n in names])[rng.integers(len(names), size=len(at))]] = 1
+    misnamed = np.flatnonzero(content & (rng.random(len(y)) < MISNAMED))
+    x[misnamed, np.array([_AT["bad_name"], _AT["bad_part"]])[rng.integers(2, size=len(misnamed))]] = 1
+    y[misnamed] = x[misnamed, _AT["words"]] >= math.log1p(LONG)
+    return x, y
+
+
 def examples(page: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a page with articles: each block as it is, with what the elements around it say left out, and with its own kind left out, too."""
+    """Features and labels of a page with articles: each block as it is, with what the elements around it say left out, with its own kind left out, too, and redrawn."""
     own = blocks(page)
     x = features(own)
-    y = np.array([float(bool(b.bits & _BIT["article"]) and not b.bits & (_BIT["nav"] | _BIT["footer"] | _BIT["aside"] | _BIT["form"] | _BIT["ad_name"] | _BIT["replies"])) for b in own])
+    rest = _BIT["nav"] | _BIT["footer"] | _BIT["aside"] | _BIT["form"] | _BIT["dialog"] | _BIT["ad_name"] | _BIT["notice_name"] | _BIT["replies"]
+    y = np.array([float(bool(b.bits & _BIT["article"]) and not b.bits & rest) for b in own])
     if not y.any():
         return x[:0], y[:0]
+    if len(own) > LEARNT:
+        some = np.arange(LEARNT) * len(own) // LEARNT
+        x, y = x[some], y[some]
     bare, text = x.copy(), x.copy()
     bare[:, _HIDDEN] = 0
-    text[:, [*_HIDDEN, *range(4, 7)]] = 0
-    return np.vstack([x, bare, text]), np.concatenate([y, y, y])
+    text[:, [*_HIDDEN, *_KINDS]] = 0
+    rng = np.random.default_rng(zlib.crc32(page.encode("utf-8", "surrogatepass")))
+    more = [_redrawn(x, y, rng) for _ in range(REDRAWN)]
+    return np.vstack([x, bare, text, *(a for a, _ in more)]), np.concatenate([y, y, y, *(b for _, b in more)])
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -304,11 +377,11 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [examples(page) for batch in batches for page in batch.column("html").to_pylist()]
-        w = learn(np.vstack([x for x, _ in got]), np.concatenate([y for _, y in got])) if got else PRIOR
+        w = learn(np.vstack([x for x, _ in got]), np.concatenate([y for _, y in got])) if got else FALLBACK
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["w"])
 
     got = chosen.mapInArrow(run, "w array<double>").collect()  # one short row
-    return np.array(got[0]["w"]) if got else PRIOR
+    return np.array(got[0]["w"]) if got else FALLBACK
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -370,7 +370,7 @@ with <b>bold</b> &lt;x&gt;.<br>After</p><p>Second.</p><div class="comments"><p>n
 
 
 def test_html_text(spark):
-    w = html_text.PRIOR
+    w = html_text.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     assert html_text.main_text(PAGE, w) == "Head & line\nFirst para with bold <x>. After\nSecond."
     assert html_text.main_text(None, w) == "" == html_text.main_text("", w) == html_text.main_text("<html>", w)
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (1, "u", PAGE), (4, "v", "<p>" + "word. " * 20000)], "page_id long, url string, html string")
