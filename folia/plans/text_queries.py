@@ -96,9 +96,20 @@ def snippet(spark, d):
     return _docs(spark, d).select("doc_id", T.snippet(F.col("text"), F.lit("the on")).alias("snippet"))
 
 
-@query()
+_DEBRIS = ("", "ϡܐ", "ϡܐϡܐ", "교무 ", "ϡ가", "Part 2")
+
+
+@query(V.with_views(V.DOCS, body=f"""
+SELECT doc_id, t = '' OR odd >= 4 OR (odd >= 2 AND odd / length(own) >= 0.15) OR CASE WHEN regexp_matches(own, '[가-힣一-鿿]') THEN len(regexp_extract_all(own, '[가-힣A-Za-z一-鿿]')) < 2
+  ELSE NOT (regexp_matches(t, '(?i)^(part|chapter|step|unit|appendix|q\\s*&\\s*a|faq)\\b') OR (len(regexp_extract_all(t, '\\b[A-Za-z][a-z]{{2,}}\\b')) >= 2 AND NOT regexp_matches(t, '[\\[\\]^$\\\\{{}}|`~#@]'))) END AS garbled, odd
+FROM (SELECT *, length(regexp_replace(own, '[가-힣ㄱ-ㆎ一-鿿 -~·°×‐-⁯⅐-⇿①-➿\\x{{3000}}-〿㈀-㏿＀-￯]', '', 'g')) AS odd FROM (
+  SELECT doc_id, t, regexp_replace(t, '\\s+', '', 'g') AS own FROM (SELECT doc_id, trim({list(_DEBRIS)}[doc_id % 6 + 1] || CASE WHEN doc_id % 12 = 5 THEN '' WHEN doc_id % 12 = 3 THEN left(title, 1) ELSE title END) AS t FROM docs_v)))"""))
 def is_garbled(spark, d):
-    return V.docs_v(spark, d).select("doc_id", T.is_garbled(F.col("title")).alias("garbled"), T.odd_chars(F.col("title")).alias("odd"))
+    """Titles behind debris of a font, behind Hangul and Latin words, and some of one letter."""
+    i = F.col("doc_id")
+    title = F.when(i % 12 == 5, "").when(i % 12 == 3, F.left("title", F.lit(1))).otherwise(F.col("title"))
+    own = F.concat(F.element_at(F.array(*map(F.lit, _DEBRIS)), (i % 6 + 1).cast("int")), title)
+    return V.docs_v(spark, d).select("doc_id", T.is_garbled(own).alias("garbled"), T.odd_chars(F.regexp_replace(own, r"\s+", "")).cast("long").alias("odd"))
 
 
 @query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, regexp_matches((n + 1)::VARCHAR || ['. ', ') ', '.1 ', ' '][n % 4 + 1] || text, '^\\s*(\\d{1,3}([.-]\\d{1,3})*[.)](\\D|$)|\\d{1,3}([.-]\\d{1,3})+\\s)') AS numbered FROM blocks_v"))
@@ -192,24 +203,50 @@ def blob_sha(spark, d):
     return _docs(spark, d).select("doc_id", T.blob_sha(F.col("text")).alias("sha"))
 
 
-@query()
+_LATIN, _HANGUL = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN len(w) >= 30 THEN len(list_filter(w, lambda x: length(x) = 1)) / len(w) ELSE 0.0 END AS ratio FROM (
+  SELECT doc_id, list_filter(string_split_regex(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(t, '([가-사])', '\\1 ', 'g') ELSE t END, '\\s+'), lambda x: regexp_full_match(x, '[가-힣]+')) AS w
+  FROM (SELECT doc_id, translate(lower({_RAW}), '{_LATIN}', '{_HANGUL}') AS t FROM documents))""")
 def spaced_ratio(spark, d):
-    return _docs(spark, d).select("doc_id", T.spaced_ratio(F.col("text")).alias("ratio"))
+    """Whole texts with their letters as syllables; in every third document some of these stand apart."""
+    own = F.translate(F.lower("text"), _LATIN, _HANGUL)
+    return _docs(spark, d).select("doc_id", T.spaced_ratio(F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(own, "([가-사])", "$1 ")).otherwise(own)).alias("ratio"))
+
 
+_ENDINGS = ("", " 합니다.", " 한다", " 있다 ?", " 하며 。 ", "다")
 
-@query()
+
+@query(V.with_views(V.BLOCKS, body=f"""
+SELECT doc_id, n, NOT regexp_matches(t, '[?？]\\s*$') AND regexp_matches(t, '{T.SENTENCE_END}') AND length(regexp_replace(t, '\\s', '', 'g')) >= 12 AS sentence
+FROM (SELECT doc_id, n, trim((CASE WHEN n % 7 = 0 THEN left(text, 6) ELSE text END) || {list(_ENDINGS)}[n % 6 + 1]) AS t FROM blocks_v)"""))
 def is_sentence(spark, d):
-    return V.blocks_v(spark, d).select("doc_id", "n", T.is_sentence(F.col("text")).alias("sentence"))
+    """Lines, some of them short, behind which stand endings of sentences and others."""
+    n = F.col("n")
+    line = F.concat(F.when(n % 7 == 0, F.left("text", F.lit(6))).otherwise(F.col("text")), F.element_at(F.array(*map(F.lit, _ENDINGS)), n % 6 + 1))
+    return V.blocks_v(spark, d).select("doc_id", n.cast("long").alias("n"), T.is_sentence(line).alias("sentence"))
+
 
+_MARK = "CASE n % 5 WHEN 0 THEN '(' || (n + 1) || ') ' WHEN 1 THEN substr('가나다라마바사아자차카타파하', n % 14 + 1, 1) || '. ' WHEN 2 THEN substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳', n % 20 + 1, 1) || ' ' WHEN 3 THEN (n + 1) || '. ' ELSE '' END"
 
-@query()
+
+@query(V.with_views(V.BLOCKS, body=f"""
+SELECT doc_id, n, (CASE WHEN n % 5 = 1 THEN n % 14 + 1 WHEN n % 5 = 2 THEN n % 20 + 1 WHEN n % 5 IN (0, 3) THEN left((n + 1)::VARCHAR, 3)::INTEGER WHEN regexp_matches(text, '^\\(?[0-9]') THEN regexp_extract(text, '[0-9]{{1,3}}')::INTEGER ELSE 0 END)::INTEGER AS number FROM blocks_v"""))
 def heading_number(spark, d):
-    return V.blocks_v(spark, d).select("doc_id", "n", T.heading_number(F.concat((F.col("n") + 1).cast("string"), F.lit(". "), F.col("text"))).alias("number"))
+    """Lines behind numbers, letters of the alphabet and circled digits; the SQL says what was put there."""
+    return V.blocks_v(spark, d).withColumn("text", F.concat(F.expr(_MARK), "text")).select("doc_id", F.col("n").cast("long").alias("n"), T.heading_number(F.col("text")).alias("number"))
 
 
-@query()
+@query(V.with_views(V.DOCS, body="""
+SELECT doc_id, trim(CASE WHEN doc_id % 4 = 2 THEN '업무·' || trim(t) ELSE t END) AS title
+FROM (SELECT doc_id, regexp_replace(regexp_replace(title, '\\s{2,}.*$', ''), '\\s+', ' ', 'g') AS t FROM docs_v)"""))
 def clean_title(spark, d):
-    return V.docs_v(spark, d).select("doc_id", T.clean_title(F.concat("title", F.lit(" ····· 12"))).alias("title"))
+    """Titles before leaders and page numbers, the overview mark, behind a middle dot, and before two spaces; the SQL takes those without."""
+    title, i = F.col("title"), F.col("doc_id")
+    own = F.when(i % 4 == 0, F.concat(title, F.lit(" ····· 12"))).when(i % 4 == 1, F.concat(title, F.lit(" 업무개요 12쪽"))).when(i % 4 == 2, F.concat(F.lit("업무 ‧ "), F.trim(title))).otherwise(F.concat(title, F.lit("  끝")))
+    return V.docs_v(spark, d).select("doc_id", T.clean_title(own).alias("title"))
 
 
 # ---- page structure -----------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Catalog views over the parquet tables, once as DataFrames and once as SQL for comparison.
 
-Documents become catalog entries with a title, levels, a department, a year and keywords; their lines
-become blocks; blocks are cut into sections by length; anchors of pages become links.
+Documents become catalog entries with a title (the first sentence of the first line), levels, a department, a
+year and keywords; their lines become blocks; blocks are cut into sections by length; anchors of pages become links.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def docs_v(spark: SparkSession, d: str) -> DataFrame:
     last = F.filter(F.split(F.element_at(F.split("text", "\n"), -1), " "), lambda w: w != "")
     return docs.select(
         "doc_id",
-        F.left(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit(80)).alias("title"),
+        F.trim(F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))).alias("title"),
         F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(COMMON))).otherwise(F.array("lang")).alias("levels"),
         F.col("source").alias("department"),
         (2024 + F.col("doc_id") % 3).cast("int").alias("year"),
@@ -155,7 +155,7 @@ def sql_shard(g: str, n: int = T.SHARDS) -> str:
 _LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 DOCS = f"""docs_v AS (
-  SELECT doc_id, left(trim(split_part(text, chr(10), 1)), 80) AS title, CASE WHEN doc_id % 10 = 0 THEN ['{COMMON}'] ELSE [lang] END AS levels, source AS department,
+  SELECT doc_id, trim(split_part(split_part(text, chr(10), 1), '.', 1)) AS title, CASE WHEN doc_id % 10 = 0 THEN ['{COMMON}'] ELSE [lang] END AS levels, source AS department,
     (2024 + doc_id % 3)::INTEGER AS year, ['pdf', 'hwpx', 'xlsx', 'hwp'][doc_id % 4 + 1] AS format, n_chars AS bytes, doc_id AS created_at,
     CASE WHEN len(w) > 1 AND w[1] <> w[2] THEN w[1:2] ELSE w[1:1] END AS keywords
   FROM (SELECT *, list_filter(string_split(string_split(text, chr(10))[-1], ' '), lambda x: x <> '') AS w FROM documents))"""
