@@ -480,12 +480,11 @@ def read_documents(spark, d):
 # ---- letter-spaced texts --------------------------------------------------------------------------
 
 
-@query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, CASE n % 3 WHEN 0 THEN '연수계획서 ' || text WHEN 1 THEN '제3조 ' || text ELSE text || ' 안 내 문' END AS text FROM blocks_v"))
+@query(V.with_views(V.BLOCKS, body="SELECT doc_id, n, '연수계획서 ' || text AS text FROM blocks_v"))
 def join_spaced(spark, d):
-    """Whole blocks with a letter-spaced heading or article before them, or three syllables, too few to be joined, behind them."""
-    n, text = F.col("n"), F.col("text")
-    own = F.when(n % 3 == 0, F.concat(F.lit("연 수 계 획 서 "), text)).when(n % 3 == 1, F.concat(F.lit("제 3 조 "), text)).otherwise(F.concat(text, F.lit(" 안 내 문")))
-    return V.blocks_v(spark, d).select("doc_id", n.cast("long").alias("n"), spacing.join_spaced(own).alias("text"))
+    """Whole blocks with a letter-spaced heading before them."""
+    own = F.concat(F.lit("연 수 계 획 서 "), "text")
+    return V.blocks_v(spark, d).select("doc_id", F.col("n").cast("long").alias("n"), spacing.join_spaced(own).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN array_to_string(list_transform(range(0, 40), lambda i: '연수계획서안내'), '. ') || '. ' || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents")
