@@ -15,8 +15,8 @@ from that alphabet:
   the documents' own words. Text has much of it.
 
 Each test gives the probability that text is that close to randomness, so longer runs can give smaller ones.
-What text is like is learnt from the words of a bounded sample of documents (SAMPLE), and, where its path is
-given, of a tokenizer's vocabulary, with the spread between texts; a run has to be unlike each of them. What
+What text is like is learnt from the words of all documents, and, where its path is given, of a tokenizer's
+vocabulary, with the spread between texts; a run has to be unlike each of them. What
 isn't evenly drawn from its alphabet either (one letter again and again, the alphabet in order, in whatever
 case) doesn't count. The three are combined by
 the Cauchy rule, which holds for dependent tests, and the step-up procedure of Benjamini and Hochberg,
@@ -33,8 +33,8 @@ import base64
 import hashlib
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from folia.llm import textkit as tk
 from folia.llm.arrow import map_batches
 
 # fixed values: the base patterns and their least lengths
@@ -68,8 +69,10 @@ EVEN = 1e-4
 RATE = 0.2
 #: Spread between texts, in bits a pair, at least.
 SPREAD = 0.3
-#: Most documents that the model of text is learnt from, and letters below which there is none.
-SAMPLE, LETTERS = 2_000, 5_000
+#: Letters below which there is no model of text, pairs from which on a document's mean counts, and parts of a bit that means are summed in.
+LETTERS, PAIRS, PARTS = 5_000, 100, 1 << 20
+#: Bytes whose pairs are looked at at once.
+PIECE = 1 << 18
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _PREFIX = re.compile(r"(?:[A-Za-z]{2,10}[_-]){1,2}")
 _SEGMENT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_-]+")
@@ -101,30 +104,56 @@ def _letters(word: str) -> np.ndarray:
     return np.frombuffer(word.lower().encode(), np.uint8) - 97
 
 
-def learn(texts: Iterator[str]) -> Text | None:
-    """The model of text from the words of some texts; letters beyond ASCII end a word."""
-    counts, docs = np.ones((26, 26)), []
-    for t in texts:
-        own = np.zeros((26, 26))
-        for w in _TEXT_WORD.findall(t):
-            x = _letters(w)
-            np.add.at(own, (x[:-1], x[1:]), 1)
-        counts += own
-        docs.append(own)
+_LETTER = np.zeros(256, np.int8)
+_LETTER[65:91] = _LETTER[97:123] = 1
+
+
+def letter_pairs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 26 * letter + next letter) of all neighbours in words of 3 to 20 letters; what is longer is cut every 20, letters beyond ASCII end a word."""
+    s, e, row = tk.runs(_LETTER[buf], offs)
+    at = np.repeat(np.arange(len(s)), e - s - 1)
+    i = np.arange(len(at)) - np.repeat(np.cumsum(e - s - 1) - (e - s - 1), e - s - 1)
+    keep = (i % 20 != 19) & ((e - s)[at] - i // 20 * 20 >= 3)
+    at, i = at[keep], s[at[keep]] + i[keep]
+    low = tk.LOWER[buf].astype(np.int64) - 97
+    return row[at], 26 * low[i] + low[i + 1]
+
+
+def pair_counts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return np.bincount(letter_pairs(buf, offs)[1], minlength=676)
+
+
+def text_of(counts: np.ndarray) -> Text | None:
+    """The model of text of the numbers of all pairs, with the least spread between texts."""
+    counts = counts.reshape(26, 26) + 1.0
     if counts.sum() < LETTERS:
         return None
-    share = counts.sum(0) / counts.sum()
-    given = counts / counts.sum(1, keepdims=True)
-    bits = np.log2(given * 26)
+    bits = np.log2(counts / counts.sum(1, keepdims=True) * 26)
     p = counts / counts.sum()
     mean = float((p * bits).sum())
-    var = float((p * (bits - mean) ** 2).sum())
-    # between documents: the spread of their means beyond what their numbers of pairs explain
-    n = np.array([d.sum() for d in docs])
-    own = np.array([float((d * bits).sum()) / m if m else mean for d, m in zip(docs, n)])
-    big = n >= 100
-    between = max(0.0, float(np.mean((own[big] - mean) ** 2 - var / n[big]))) if big.any() else 0.0
-    return Text(share, bits, mean, math.sqrt(var), max(SPREAD, math.sqrt(between)))
+    return Text(counts.sum(0) / counts.sum(), bits, mean, math.sqrt(float((p * (bits - mean) ** 2).sum())), SPREAD)
+
+
+def spread(buf: np.ndarray, offs: np.ndarray, text: Text) -> tuple[int, int]:
+    """(rows of PAIRS pairs or more, sum of the squares by which their means differ beyond what their numbers of pairs explain, in PARTS)."""
+    row, pair = letter_pairs(buf, offs)
+    n = np.bincount(row, minlength=len(offs) - 1)
+    total = np.bincount(row, text.bits.ravel()[pair], len(offs) - 1)
+    big = n >= PAIRS
+    off = (total[big] / n[big] - text.mean) ** 2 - text.pair_sd**2 / n[big]
+    # in whole numbers, whose sum doesn't depend on the order of rows
+    return int(big.sum()), int(np.rint(off * PARTS).astype(np.int64).sum())
+
+
+def with_spread(text: Text, n: int, off: int) -> Text:
+    return replace(text, text_sd=max(SPREAD, math.sqrt(max(0.0, off / PARTS / n)))) if n else text
+
+
+def learn(texts: Iterable[str]) -> Text | None:
+    """The model of text from the words of some texts."""
+    buf, offs = tk.from_texts([t.encode("utf-8", "replace") for t in texts])
+    got = text_of(pair_counts(buf, offs))
+    return got and with_spread(got, *spread(buf, offs, got))
 
 
 def _below(z: float) -> float:
@@ -302,21 +331,31 @@ def of_vocabulary(path: str) -> Text | None:
     return learn(" ".join(words[i::200]) for i in range(200))
 
 
-def train(docs: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE) -> tuple[Text, ...]:
-    """The kinds of text: of the documents whose texts have the smallest hashes, `sample` at most, in one task, and of a vocabulary."""
-    rows = docs.select(F.xxhash64("text").alias("h"), "text").where("text <> ''")
-    # `sample` bounds the side that is sent to all executors
-    chosen = rows.join(F.broadcast(rows.select("h").distinct().orderBy("h").limit(sample)), "h").dropDuplicates(["h"]).repartition(1).sortWithinPartitions("h")
+def train(docs: DataFrame, vocabulary: str | None = None) -> tuple[Text, ...]:
+    """The kinds of text: of all documents, whose pairs are counted once and held against the counts' model once more, and of a vocabulary."""
+    texts = docs.select("text").where("text <> ''")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(676, np.int64)
+        for b in batches:
+            for _, _, buf, offs in tk.pieces(b.column(0), PIECE):
+                got += pair_counts(buf, offs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(676)), pa.array(got)], ["pair", "n"])
+
+    counts = np.zeros(676)
+    for r in texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 676 rows
+        counts[r["pair"]] = r["n"]
+    own = text_of(counts)
+    if own is not None:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = learn(t.as_py() for b in batches for t in b.column("text"))
-        if got is not None:
-            row = [got.share.tolist()], [got.bits.ravel().tolist()], [[got.mean, got.pair_sd, got.text_sd]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())) for x in row], ["share", "bits", "rest"])
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [spread(buf, offs, own) for _, _, buf, offs in tk.pieces(b.column(0), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], ["n", "off"])
 
-    got = chosen.select("text").mapInArrow(run, "share array<double>, bits array<double>, rest array<double>").collect()  # one row of fixed size
-    own = [Text(np.array(r["share"]), np.array(r["bits"]).reshape(26, 26), *r["rest"]) for r in got]
-    return tuple(m for m in (*own, of_vocabulary(vocabulary) if vocabulary else None) if m)
+        r = texts.mapInArrow(hold, "n long, off long").agg(F.sum("n").alias("n"), F.sum("off").alias("off")).first()
+        own = with_spread(own, r["n"] or 0, r["off"] or 0)
+    return tuple(m for m in (own, of_vocabulary(vocabulary) if vocabulary else None) if m)
 
 
 def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

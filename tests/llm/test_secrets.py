@@ -167,3 +167,34 @@ def test_the_query_equals_the_kernel_on_every_row(spark):
     models = S.train(docs, RANKS)
     want = {r["doc_id"]: S._joined(sorted(by_hand(r["text"] or "") + [(a, z, 3) for a, z in S.random_spans(r["text"] or "", [x[:2] for x in by_hand(r["text"] or "")], models)], key=lambda x: (x[0], x[2]))) for r in docs.collect()}
     assert {r["doc_id"]: r["spans"] for r in queries.op5_secrets(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def learnt_by_hand(texts):
+    """The model of text from all texts, word by word."""
+    import math
+    import re
+
+    import numpy as np
+
+    docs = []
+    for t in texts:
+        own = np.zeros((26, 26))
+        for w in re.findall(r"[A-Za-z]{3,20}", t):
+            for a, b in zip(w.lower(), w.lower()[1:]):
+                own[ord(a) - 97, ord(b) - 97] += 1
+        docs.append(own)
+    counts = np.ones((26, 26)) + sum(docs)
+    bits = np.log2(counts / counts.sum(1, keepdims=True) * 26)
+    mean = float((counts * bits).sum() / counts.sum())
+    var = float((counts * (bits - mean) ** 2).sum() / counts.sum())
+    off = [((d * bits).sum() / d.sum() - mean) ** 2 - var / d.sum() for d in docs if d.sum() >= 100]
+    return [*bits.ravel(), *(counts.sum(0) / counts.sum()), mean, math.sqrt(var), max(S.SPREAD, math.sqrt(max(0.0, sum(off) / len(off))))]
+
+
+def test_the_model_of_text_is_learnt_from_every_document(spark):
+    """2,600 documents, of which the last letters of the alphabet stand in a few: a sample of 2,000 gives other counts."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("etaoin" if i % 13 else "zxqvwj") for _ in range(rng.randint(1, 45))) for _ in range(12)) + " é abcé" for i in range(2_600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got, *rest = S.train(docs)
+    assert not rest and [*got.bits.ravel(), *got.share, got.mean, got.pair_sd, got.text_sd] == pytest.approx(learnt_by_hand(texts), abs=1e-6)
