@@ -2,9 +2,10 @@
 
 Tokens are runs of word bytes and runs of other visible bytes. Features are the hashed single tokens and
 pairs of neighbours, and a mark for each token that repeats the one before it; a text's feature vector is
-its counts over their Euclidean norm, a sparse vector of 2^BITS places. Learning goes over a bounded
-sample of labelled rows (SAMPLE), in SHARDS parts that each learn on their own in a Spark task; the model
-is the mean of theirs. Scoring is one sparse dot product for each row.
+its counts over their Euclidean norm, a sparse vector of 2^BITS places. Learning goes over all labelled rows
+outside the held-out fold, dealt by doc_id into parts of about PART rows, SHARDS at least, that each learn on
+their own in Spark tasks; the model is the mean of theirs, summed in blocks of places. Scoring is one sparse
+dot product for each row.
 
 Nulls count as empty texts; an empty text has the bias alone. Other columns are passed over.
 """
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folia.llm import textkit as tk
-from folia.llm.arrow import free, held_out, labelled, map_batches
+from folia.llm.arrow import free, held_out, labelled_ids, map_batches, trainable
 
 BITS = 18
-#: Most labelled rows that are learnt from.
-SAMPLE = 16_000
-SHARDS = 4
+#: Parts at least, labelled rows of one (on average), and places of vectors that are learnt from at once: a part of more learns in several models.
+SHARDS, PART, PLACES = 4, 4_000, 1 << 22
+#: Places of a model that are summed at once, and bytes of text whose features are found at once.
+BLOCK, PIECE = 1 << 12, 1 << 19
 PASSES = 3
 FOLD = (5, 0)
 THRESHOLD = 0.3
@@ -78,23 +80,62 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], passes: int = PASSES,
     return weight(np.arange(len(z)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The mean of the models of SHARDS parts of the sample; without labelled rows all weights are 0."""
-    rows = labelled(docs, labels, "quality", FOLD, sample)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SHARDS))).repartition(SHARDS, "part").sortWithinPartitions("part", F.xxhash64("doc_id"), "text")
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = []
-        for b in batches:
-            y = b.column("y").to_pylist()
-            for a, _, buf, offs in tk.pieces(b.column("text")):
-                own += [(at, x, y[a + i]) for i, (at, x) in enumerate(vectors(buf, offs))]
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([learn(own).astype("<f4").tobytes()], pa.binary())], ["n", "w"])
-
-    got = dealt.mapInArrow(kernel, "n long, w binary").collect()  # at most SHARDS rows of fixed size
-    total = sum(r["n"] for r in got)
-    return sum((np.frombuffer(r["w"], "<f4") * (r["n"] / total) for r in got), np.zeros(1 << BITS | 1))
+def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Models of the rows of each part, in blocks. Rows: part, doc_id, y (of a label, else null), text (else null), a label before its texts."""
+    part = label = None
+    made, size, own = 0, 0, []
+
+    def model() -> pa.RecordBatch:
+        w = learn(own).astype("<f4")
+        blocks = [w[i : i + BLOCK].tobytes() for i in range(0, len(w), BLOCK)]
+        k = len(blocks)
+        return pa.RecordBatch.from_arrays([pa.array(range(k), pa.int64()), pa.array([part] * k, pa.int64()), pa.array([made] * k, pa.int64()), pa.array([len(own)] * k, pa.int64()), pa.array(blocks, pa.binary())], ["block", "part", "model", "n", "w"])
+
+    for b in batches:
+        parts, ids, ys = (b.column(i).to_pylist() for i in range(3))
+        for a, _, buf, offs in tk.pieces(b.column(3), PIECE):
+            for i, (at, x) in enumerate(vectors(buf, offs), a):
+                if own and (parts[i] != part or size >= PLACES):
+                    yield model()
+                    made, size, own = made + 1, 0, []
+                part = parts[i]
+                if ys[i] is not None:
+                    label = ids[i], ys[i]
+                elif label and label[0] == ids[i]:
+                    own.append((at.astype(np.int32), x.astype(np.float32), label[1]))
+                    size += len(at)
+    if own:
+        yield model()
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each block over all models, weighted by their rows."""
+    block, n, total = None, 0, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "n", "w"])
+    for b in batches:
+        for k, m, w in zip(*(b.column(i).to_pylist() for i in (0, 3, 4))):
+            if k != block:
+                if total is not None:
+                    yield row()
+                block, n, total = k, 0, 0.0
+            n, total = n + m, total + np.frombuffer(w, "<f4").astype(float) * m
+    if total is not None:
+        yield row()
+
+
+def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """The mean of the models of all parts of the labelled rows; without any all weights are 0."""
+    chosen = labelled_ids(labels, "quality", FOLD)
+    parts = max(SHARDS, -(-chosen.count() // PART))
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    at = F.pmod(F.xxhash64(F.lit(7), key), F.lit(parts)).alias("part")
+    texts = docs.where(trainable(FOLD)).select(at, key, F.lit(None).cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
+    # labels and texts meet in their part: neither side is sent to all executors, and texts are shuffled once
+    dealt = texts.union(chosen.select(at, key, "y", F.lit(None).cast("string").alias("text"))).repartition("part")
+    models = dealt.sortWithinPartitions("part", F.xxhash64("doc_id"), "doc_id", F.col("y").isNull(), "text").mapInArrow(_models, "block long, part long, model long, n long, w binary")
+    summed = models.repartition("block").sortWithinPartitions("block", "part", "model").mapInArrow(_sums, "block long, n long, w binary")
+    got = sorted(summed.collect())  # 65 rows of fixed size
+    return np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in got]) if got else np.zeros(1 << BITS | 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, out: str = "score") -> DataFrame:
@@ -104,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray, out: str = "score") -> DataFrame
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
         w, got = sent.value, []
-        for _, _, buf, offs in tk.pieces(b.column("text")):
+        for _, _, buf, offs in tk.pieces(b.column("text"), PIECE):
             got += [float(w[at] @ x) for at, x in vectors(buf, offs)]
         p = 1 / (1 + np.exp(-(np.array(got) + float(w[-1]))))
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, out])

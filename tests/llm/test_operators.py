@@ -389,3 +389,36 @@ def test_minimum_cut_is_the_cheapest_labelling():
         ties = [(int(a), int(b), float(r.random())) for a, b in r.integers(0, n, (10, 2)) if a != b]
         cost = lambda x: sum(max(0, b) if not v else max(0, -b) for b, v in zip(bias, x)) + sum(w for a, b, w in ties if x[a] != x[b])  # noqa: B023,E731
         assert abs(cost(html_text.cut(bias, ties)) - min(map(cost, product([False, True], repeat=n)))) < 1e-9
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """A mark of bad texts that stands in the last part of the labels only: each part, and each slice of one, adds its share to the mean."""
+    docs, labels = labelled(spark, "quality")
+    monkeypatch.setattr(quality, "PART", 20)
+    got = quality.train(docs, labels)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None}
+    own = sorted(i for i in rows if i in marks and zlib.crc32(str(i).encode()) % 5)
+    parts = -(-len(own) // 20)
+    ids = spark.createDataFrame([(i,) for i in own], "doc_id long")
+    dealt = ids.selectExpr("doc_id", f"pmod(xxhash64(7, doc_id), {parts}) AS part", "xxhash64(doc_id) AS h").orderBy("part", "h").collect()
+    want, n = np.zeros((1 << quality.BITS) + 1), 0
+    for p in range(parts):
+        mine = [r["doc_id"] for r in dealt if r["part"] == p]
+        buf, offs = quality.tk.from_texts([(rows[i] or "").encode() for i in mine])
+        vectors = [(at, x.astype(np.float32), marks[i]) for i, (at, x) in zip(mine, quality.vectors(buf, offs))]
+        want += quality.learn(vectors).astype(np.float32) * len(mine) if mine else 0
+        n += len(mine)
+    assert n == len(own) and parts > 4 and np.allclose(got, want / n, atol=1e-6)
+    monkeypatch.setattr(quality, "PLACES", 500)  # several models a part
+    assert np.abs(quality.train(docs, labels)).sum() > 0
+
+
+def test_quality_takes_more_labels_than_a_sample_held(spark):
+    """17,000 labelled rows; the rows by which bad texts can be told are those with the largest hashes, which a sample of 16,000 left out."""
+    ids = spark.range(22_000).where("crc32(cast(cast(id AS string) AS binary)) % 5 <> 0").selectExpr("id AS doc_id", "row_number() OVER (ORDER BY xxhash64(id), id) AS r").where("r <= 17000")
+    docs = ids.selectExpr("doc_id", "CASE WHEN r > 16000 THEN 'zzyzx marker' ELSE 'plain words' END AS text", "r")
+    labels = ids.selectExpr("doc_id", "CASE WHEN r > 16000 THEN 0 ELSE 1 END AS quality")
+    weights = quality.train(docs.drop("r"), labels)
+    got = quality.score(spark.createDataFrame([(1, "zzyzx marker"), (2, "plain words")], "doc_id long, text string"), weights).collect()
+    assert {r["doc_id"]: r["score"] >= quality.THRESHOLD for r in got} == {1: False, 2: True}
