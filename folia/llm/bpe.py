@@ -248,11 +248,10 @@ class Splitter:
 _state: dict = {}
 
 
-def encoder(path_key: str, ranks: dict[bytes, int], pattern: str, cache: int) -> tuple[PrefixBpe, Splitter, _Pieces]:
-    """One encoder for each Python process and vocabulary."""
-    if _state.get("key") != (path_key, pattern, cache):
-        bpe = PrefixBpe(ranks)
-        _state.update(key=(path_key, pattern, cache), made=(bpe, Splitter(pattern), _Pieces(bpe, cache)))
+def splitter(pattern: str) -> Splitter:
+    """One splitter for each Python process and pattern."""
+    if _state.get("key") != pattern:
+        _state.update(key=pattern, made=Splitter(pattern))
     return _state["made"]
 
 
@@ -261,13 +260,17 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, cach
 
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
     decoded_sha256 (of the bytes that decoding the ids gives) and, with keep_ids, ids as array<int>.
-    `cache` bounds the pieces of text that a Python process remembers.
+    `cache` bounds the pieces of text that a task remembers; they go with it, so that a later stage's workers hold none.
     """
     ranks = read_ranks(path)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary
+    own: list = []  # each task unpickles a list of its own
 
     def kernel(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, split, known = encoder(path, sent.value, pattern, cache)
+        if not own:
+            bpe = PrefixBpe(sent.value)
+            own.extend((bpe, splitter(pattern), _Pieces(bpe, cache)))
+        bpe, split, known = own
         n, ids_sha, out_sha, ids = [], [], [], []
         for part in slices(b.column("text").to_pylist()):
             cut = [split.findall(t) for t in part]

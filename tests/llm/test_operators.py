@@ -422,3 +422,21 @@ def test_quality_takes_more_labels_than_a_sample_held(spark):
     weights = quality.train(docs.drop("r"), labels)
     got = quality.score(spark.createDataFrame([(1, "zzyzx marker"), (2, "plain words")], "doc_id long, text string"), weights).collect()
     assert {r["doc_id"]: r["score"] >= quality.THRESHOLD for r in got} == {1: False, 2: True}
+
+
+def test_no_worker_keeps_an_encoder(spark, docs):
+    """Pieces and tables of the encoder go with its tasks: stages that follow in the same Python processes have their memory."""
+    import pandas as pd
+    import public_tokenizers
+
+    bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count()
+
+    def kept(frames):
+        import gc
+
+        for _ in frames:
+            pass
+        gc.collect()
+        yield pd.DataFrame({"n": [sum(type(o).__name__ in ("PrefixBpe", "_Pieces") for o in gc.get_objects())]})
+
+    assert sum(r["n"] for r in spark.range(4).repartition(4).mapInPandas(kept, "n long").collect()) == 0
