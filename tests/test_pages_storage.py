@@ -197,3 +197,32 @@ def test_whole_documents(spark):
     assert (b["title"], b["department"], b["kind"], b["sections"], b["links"], b["warnings"], len(b["blocks"])) == ("표", "감사관", "link", [], [], [], 1)
     assert c["title"] == D.NO_TITLE and c["warnings"] == ["no contents", "spaced"] and c["blocks"][0]["text"] == "연수계획서안내" * 6 and c["sections"][0]["untitled"]
     assert d["warnings"] == ["scan"] and d["blocks"] == []
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that executors write for shuffles while `df` is computed, as for tables too large to be sent whole."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before, key = written(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset(key)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return written() - before
+
+
+def test_bundles_shuffle_no_more_than_their_texts(spark):
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("가나다라마바사아자차abcde"), 4000)) for _ in range(60)]
+    pages = spark.createDataFrame([("d", i, i + 1, t) for i, t in enumerate(texts)], "doc_id string, n int, pdf_page int, text string")
+    names = [t[k : k + n] for k, (t, n) in enumerate(zip(texts, [3, 4, 6, 9, 10, 13, 14, 20] * 7))]
+    forms = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(names)], "doc_id string, form_no int, text string")
+    matched = B.match_bundle(forms, pages)
+    assert shuffled(spark, matched) < 2 * sum(len(t.encode()) for t in texts)
+    at, want = 0, []
+    for name in names:
+        held = [i for i, t in enumerate(texts) if name[:14] in t]
+        at = next((i for i in held if i >= at), held[0])
+        want.append(at + 1)
+    assert [r["page"] for r in matched.orderBy("form_no").collect()] == want
