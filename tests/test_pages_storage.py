@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folia.functions import text as T
 from folia.operators import bundles as B
+from folia.operators import search as S
 from folia.operators import catalog as C
 from folia.operators import edges as E
 from folia.operators import storage as R
@@ -226,3 +227,14 @@ def test_bundles_shuffle_no_more_than_their_texts(spark):
         at = next((i for i in held if i >= at), held[0])
         want.append(at + 1)
     assert [r["page"] for r in matched.orderBy("form_no").collect()] == want
+
+
+def test_previews_shuffle_what_they_show(spark):
+    r = np.random.default_rng(6)
+    rows = [(1, i % 20, f"{i}.{i % 3}", "같은 앞부분의 아주 긴 제목이 여기에 서른네 글자가 넘도록 이어진다 " * (i % 2) + "".join(r.choice(list("가나다라마바사"), 3000))) for i in range(100)]
+    peek = S.result_peek(spark.createDataFrame(rows, "q int, doc_id long, c string, t string"))
+    assert shuffled(spark, peek) < sum(len(t) for *_, t in rows) / 10
+    cut = lambda t: t if len(t) <= S.PEEK else t[: S.PEEK] + "…"
+    for x in peek.collect():
+        own = sorted(([int(n) for n in c.split(".")], t) for _, doc, c, t in rows if doc == x["doc_id"])
+        assert (x["first"], x["second"], x["more"]) == (cut(own[0][1]), cut(own[1][1]), len(own) - 2)
